@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat_format, decontaminate, discriminant, secrets, toxicity
+from annalist.llm import chat_format, decontaminate, discriminant, packing, secrets, toxicity
 from annalist.llm import quality_rules as rules
 from annalist.llm.common import held_out, table
 
@@ -42,6 +42,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(chats))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items")
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_discriminant": op3_quality_discriminant,
     "op4_secret_scan": op4_secret_scan,
     "op5_chat_format": op5_chat_format,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
