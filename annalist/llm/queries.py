@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat_format, decontaminate, discriminant, jaccard_join, packing, secrets, toxicity
+from annalist.llm import chat_format, decontaminate, discriminant, jaccard_join, packing, secrets, suffix_dedup, toxicity
 from annalist.llm import quality_rules as rules
 from annalist.llm.common import held_out, table
 
@@ -55,6 +55,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return rules.quality_rules(documents, rules.trusted_ids(labels))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
