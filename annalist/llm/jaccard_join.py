@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.llm.common import materialise, shuffle_partitions, text_slices, utf8_of
@@ -165,18 +165,19 @@ def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch) of each document."""
+    """(doc_id, text_key, n_shingles, node, sketch) of each document."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             first, hashes = shingle_sets(part["text"])
             yield pa.record_batch(
-                [part["doc_id"], pa.array(np.diff(first)), pa.array(set_keys(first, hashes)), pa.array(sketches(first, hashes), pa.binary())],
-                ["doc_id", "n_shingles", "node", "sketch"],
+                [part["doc_id"], part["text_key"], pa.array(np.diff(first)), pa.array(set_keys(first, hashes)), pa.array(sketches(first, hashes), pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "node", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, node bigint, sketch binary")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInArrow(run, f"doc_id {id_type}, text_key bigint, n_shingles bigint, node bigint, sketch binary")
 
 
 def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int], total: int) -> DataFrame:
@@ -383,12 +384,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the least doc_id that links reach, its own included.
     """
+    return components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and root (null without shingles) of each document."""
     docs = docs.select("doc_id", "text")
     profile = materialise(profiles(docs))
     nodes = profile.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
     row = profile.agg(F.max("n_shingles").alias("most"), F.sum("n_shingles").alias("total")).first()
     if not row["most"]:
-        return profile.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return profile.select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("root"))
     uppers = bands(row["most"])
     tries = {b: first_try(int(u)) for b, u in enumerate(uppers)}
     found = None
@@ -407,17 +413,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = connected_components(links.unionByName(materialise(more)))
     named = nodes.select("node", F.col("doc_id").alias("least")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = named.join(names, "root").select("node", "component_id")
+    by_node = named.join(names, "root").select("node", "component_id", "root")
+    linked = F.col("n_shingles") > 0
     return profile.join(by_node, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_key", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("root")).alias("root")
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it, once."""
-    classes = near_duplicates(docs)
-    kept = classes.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    names = docs.columns
-    ranked = docs.withColumn("_key", F.xxhash64("text")).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    first = ranked.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.col("text").isNull(), "_key")).alias("_row"))
-    return first.select("_row.*")
+    """``docs`` with one row of each component, all their columns kept: the one of the least doc_id.
+
+    Rows without shingles are all kept.  Among rows that tie in doc_id the one
+    of the least text hash stays, then any one of the rows equal in both.
+    """
+    found = materialise(components(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    least = found.where("root is not null").groupBy("root").agg(F.min(order).alias("r")).select("r.doc_id", "r.text_key")
+    bare = found.where("root is null").select("doc_id", "text_key").distinct().withColumn("bare", F.lit(True))
+    kept = least.withColumn("bare", F.lit(False)).unionByName(bare)
+    copies = found.groupBy("doc_id", "text_key").count()
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_key"] == y["text_key"])
+    wanted = kept.join(copies, same(kept, copies)).select(kept["doc_id"].alias("_id"), kept["text_key"].alias("_key"), (F.col("bare") | (F.col("count") == 1)).alias("_all"))
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    met = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (keyed["_text_key"] == wanted["_key"]))
+    one = Window.partitionBy("doc_id", "_text_key").orderBy("_key")
+    single = met.where(~F.col("_all")).withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return met.where("_all").select(docs.columns).unionByName(single.select(docs.columns))
