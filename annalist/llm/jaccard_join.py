@@ -44,6 +44,8 @@ TRIES = (1.2, 1.35, 1.6, 2.0, 3.0, 6.0, 20.0, math.inf)
 BUCKET = 1_000_000
 #: Sets of a group that are compared in one block.
 BLOCK = 512
+#: Partners of a set that are tried in the rounds before all that are left.
+LIKELIEST = (1, 4)
 #: Members of a pivot that are checked by one task.
 STAR = 256
 
@@ -75,8 +77,8 @@ def set_keys(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch_bins(n: np.ndarray) -> np.ndarray:
-    """Bins of the sketch of a set of n shingles: a power of two near n / 6."""
-    return (1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 6)), 3, 14).astype(int)).astype(np.int64)
+    """Bins of the sketch of a set of n shingles: a power of two from n / 4 on, 64 at least."""
+    return (1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 4)), 6, 14).astype(int)).astype(np.int64)
 
 
 def sketches(first: np.ndarray, hashes: np.ndarray) -> list[bytes]:
@@ -336,10 +338,11 @@ def check_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFram
     return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(check, "a bigint, b bigint")
 
 
-def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs of a group's nodes that lie in different components and may be linked.
 
     A group is cut into blocks by hash; every two of its blocks meet in a task.
+    ``most``: only so many of the likeliest partners of each node in a task.
     """
     members = groups.select("group", F.explode("members").alias("node")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = members.groupBy("group").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
@@ -371,7 +374,13 @@ def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame) -> Data
         for x in range(len(rows) - 1):
             y = np.arange(x + 1, len(rows))
             y = y[(root[y] != root[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x])) & (one_block | (mine[y] != mine[x]))]
-            y = y[np.abs(grid[y] - grid[x]).sum(axis=1) <= most_apart(size[y], size[x])]
+            if not len(y):
+                continue
+            apart = np.abs(grid[y] - grid[x]).sum(axis=1)
+            near = apart <= most_apart(size[y], size[x])
+            y, apart = y[near], apart[near]
+            if most is not None and len(y) > most:
+                y = y[np.argsort(apart / (size[y] + size[x]), kind="stable")[:most]]
             found += [(min(node[x], z), max(node[x], z)) for z in node[y].tolist()]
         if found:
             yield pa.record_batch([pa.array([int(f[0]) for f in found], pa.int64()), pa.array([int(f[1]) for f in found], pa.int64())], ["a", "b"])
@@ -407,10 +416,15 @@ def components(docs: DataFrame) -> DataFrame:
     links = materialise(check_links(may_link(star, nodes), nodes, docs))
     labels = connected_components(links)
     groups = found.where("kind = 1").groupBy(F.col("a").alias("group")).agg(F.first("members").alias("members"))
-    across = materialise(pairs_across(groups, labels, nodes))
-    if across.limit(1).count():
-        more = check_links(across, nodes, docs)
-        labels = connected_components(links.unionByName(materialise(more)))
+    # the likeliest partners first, as each link found spares a whole component's pairs; then all that are left
+    for most in (*LIKELIEST, None):
+        across = materialise(pairs_across(groups, labels, nodes, most))
+        if not across.limit(1).count():
+            break
+        more = materialise(check_links(across, nodes, docs))
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            labels = connected_components(links)
     named = nodes.select("node", F.col("doc_id").alias("least")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = named.join(names, "root").select("node", "component_id", "root")
@@ -433,9 +447,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = least.withColumn("bare", F.lit(False)).unionByName(bare)
     copies = found.groupBy("doc_id", "text_key").count()
     same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_key"] == y["text_key"])
-    wanted = kept.join(copies, same(kept, copies)).select(kept["doc_id"].alias("_id"), kept["text_key"].alias("_key"), (F.col("bare") | (F.col("count") == 1)).alias("_all"))
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    met = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_id"]) & (keyed["_text_key"] == wanted["_key"]))
-    one = Window.partitionBy("doc_id", "_text_key").orderBy("_key")
-    single = met.where(~F.col("_all")).withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    return met.where("_all").select(docs.columns).unionByName(single.select(docs.columns))
+    wanted = kept.join(copies, same(kept, copies)).select(kept["doc_id"].alias("_annalist_id"), kept["text_key"].alias("_annalist_key"), (F.col("bare") | (F.col("count") == 1)).alias("_annalist_all"))
+    keyed = docs.withColumn("_annalist_text_key", F.xxhash64("text"))
+    met = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["_annalist_id"]) & (keyed["_annalist_text_key"] == wanted["_annalist_key"]))
+    one = Window.partitionBy("doc_id", "_annalist_text_key").orderBy("_annalist_key")
+    single = met.where(~F.col("_annalist_all")).withColumn("_annalist_n", F.row_number().over(one)).where("_annalist_n = 1")
+    return met.where("_annalist_all").select(docs.columns).unionByName(single.select(docs.columns))
