@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.common import materialise, text_slices, utf8_of
-from annalist.llm.textkit import BYTE_CODES, U, between, mix, prefix, window_minima
+from annalist.llm.textkit import BASE_INVERSE, BYTE_CODES, U, between, mix, powers, prefix, window_minima
 
 LENGTH, GRAM = 400, 48
 #: Bytes of stretches that are put in suffix order at once.
-CHUNK = 1_500_000
+CHUNK = 500_000
 #: Distinct stretches of a group beyond which it is matched by a shuffle.
 LARGE = 20_000
 PLACE_BITS = 31
@@ -54,7 +54,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     if n < length:
         return none
     sums = prefix(BYTE_CODES[data])
-    grams = between(sums, np.arange(n - gram + 1), np.arange(gram, n + 1))
+    grams = mix((sums[gram:] - sums[: n - gram + 1]) * powers(BASE_INVERSE, n - gram + 1))
     low = U((1 << PLACE_BITS) - 1)
     keyed = (grams & ~low) | np.arange(len(grams), dtype=U)
     least = window_minima(keyed, length - gram + 1)
@@ -244,12 +244,20 @@ def _by_shuffle(texts: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
 
 def removed_ranges(docs: DataFrame, length: int = LENGTH, keep: str = "none", large: int = LARGE) -> DataFrame:
-    """``docs`` (doc_id, text and others) with ``removed``: byte ranges [a, b), sorted, some overlapping (see ``merge``)."""
+    """``docs`` (doc_id, text and others) with ``_annalist_removed``: byte ranges [a, b), sorted, some overlapping (see ``merge``)."""
     keep_first = {"first": True, "none": False}[keep]
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    key, size = F.xxhash64("doc_id", "text"), F.coalesce(F.octet_length("text"), F.lit(0))
+    keyed = docs.select("doc_id", "text", key.alias("key"), size.alias("size"))
+    id_type = docs.schema["doc_id"].dataType
     found = materialise(occurrences(keyed, length))
     place = F.struct("doc_id", "key", "size", "start")
-    distinct = found.groupBy("g", "s").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.min("passages").alias("passages"))
+    if keep_first:
+        distinct = found.groupBy("g", "s").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.min("passages").alias("passages"))
+    else:
+        # any occurrence will do: all are non-null numbers of one row
+        any_of = [F.first(c).alias(c) for c in ("key", "size", "start", "passages")]
+        distinct = found.groupBy("g", "s").agg(F.count("*").alias("times"), *any_of)
+        distinct = distinct.select("g", "s", "times", F.struct(F.lit(None).cast(id_type).alias("doc_id"), "key", "size", "start").alias("first"), "passages")
     groups = distinct.groupBy("g").agg(F.count("*").alias("variants"), F.sum("times").alias("total")).where("total > 1")
     known = materialise(distinct.join(groups, "g"))
     hard = known.where("variants > 1")
@@ -264,8 +272,9 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, keep: str = "none", la
         met = met.withColumn("ranges", F.when(~is_first, all_of_it).when(F.col("equal"), F.array().cast(RANGES_SQL)).otherwise(F.col("ranges")))
     shifted = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start") + length - 1).alias("b")))
     per_doc = met.where(F.size("ranges") > 0).select("key", "size", shifted.alias("ranges")).groupBy("key", "size").agg(F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"))
-    joined = keyed.join(per_doc, ["key", "size"], "left")
-    return joined.select(*docs.columns, F.col("ranges").alias("removed"))
+    own = docs.withColumn("_annalist_key", key).withColumn("_annalist_size", size)
+    right = per_doc.select(F.col("key").alias("_annalist_key"), F.col("size").alias("_annalist_size"), F.col("ranges").alias("_annalist_removed"))
+    return own.join(right, ["_annalist_key", "_annalist_size"], "left").select(*docs.columns, "_annalist_removed")
 
 
 def merge(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -295,7 +304,7 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
             data, offsets = utf8_of(part["text"])
             raw = data.tobytes()
             rows = []
-            for i, ranges in enumerate(part["removed"].to_pylist()):
+            for i, ranges in enumerate(part["_annalist_removed"].to_pylist()):
                 own = raw[offsets[i] : offsets[i + 1]]
                 spans = merge(ranges)
                 kept = cut_text(own, spans)
@@ -315,7 +324,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             texts = []
-            for text, ranges in zip(part["text"].to_pylist(), part["removed"].to_pylist(), strict=True):
+            for text, ranges in zip(part["text"].to_pylist(), part["_annalist_removed"].to_pylist(), strict=True):
                 texts.append(cut_text(text.encode(), merge(ranges)).decode("utf-8", "ignore") if ranges else text)
             yield pa.record_batch([pa.array(texts, part["text"].type) if n == "text" else part[n] for n in names], names)
 
