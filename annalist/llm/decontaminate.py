@@ -224,8 +224,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND)
     if windows.count() > bound:
         key = F.xxhash64("doc_id", "text")
         found = _by_join(docs.select(key.alias("doc_id"), "text"), benchmark, windows)
-        hit = found.where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-        return docs.withColumn("_key", key).join(hit, "_key", "left_anti").select(docs.columns)
+        hit = found.where("contaminated").select(F.col("doc_id").alias("_annalist_key")).distinct()
+        return docs.withColumn("_annalist_key", key).join(hit, "_annalist_key", "left_anti").select(docs.columns)
     names, search = docs.columns, searcher(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,9 +30,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
 #: Characters of tokens that the models judge, and the fewest of them in one.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
 #: Mean log-likelihood ratio per character from which a token is random.
-THRESHOLD = 0.7
+THRESHOLD = 3.0
+#: Weight of those shares in a bigram model, in characters seen.
+PRIOR = 20.0
 #: Documents, random strings and ordinary words that the models learn from, at most.
 DOCUMENT_BOUND, SAMPLE_BOUND = 4_000, 20_000
 
@@ -64,15 +66,17 @@ class Models:
 
 
 def fit(random_strings: list[str], ordinary: list[str]) -> Models:
-    """Bigram models of both samples with add-half smoothing over the token characters."""
+    """Bigram models of both samples, smoothed towards the single characters' shares."""
     legal = np.array([bool(re.match(r"[A-Za-z0-9+/_=.-]", chr(c))) for c in range(128)])
 
     def logs(sample: list[str]) -> np.ndarray:
-        counts = np.where(legal[:, None] & legal[None, :], 0.5, 0.0)
+        counts = np.zeros((128, 128))
         for text in sample:
             codes = np.frombuffer(text.encode("ascii"), np.uint8)
             np.add.at(counts, (codes[:-1], codes[1:]), 1)
-        return np.log(np.where(counts > 0, counts, 1) / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9))
+        single = np.where(legal, counts.sum(axis=0) + 0.5, 0)
+        single = single / single.sum()
+        return np.log(np.maximum((counts + PRIOR * single) / (counts.sum(axis=1, keepdims=True) + PRIOR), 1e-12))
 
     return Models(np.where(legal[:, None] & legal[None, :], logs(random_strings) - logs(ordinary), 0.0))
 

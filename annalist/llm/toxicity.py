@@ -34,7 +34,7 @@ WORD = re.compile(r"[^\W\d_]+")
 POSITIVE_BOUND, UNLABELLED_BOUND = 5_000, 20_000
 VOCABULARY = 64
 #: Standard errors by which a feature's share of toxic texts must exceed that of the others.
-LEAST_Z = 4.0
+LEAST_Z = 3.0
 #: Lengths of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6, 7)
 STEPS = 400
@@ -159,11 +159,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 ["p", "has", "v"],
             )
 
-    rows = sample.mapInArrow(features, "p int, has array<int>, v array<double>").orderBy("p", "has", "v").toPandas()
-    values = np.zeros((len(rows), len(chosen)))
-    for i, (has, v) in enumerate(zip(rows["has"], rows["v"], strict=True)):
-        values[i, np.asarray(has, int)] = v
-    weights, bias = fit_nnpu(values, rows["p"].to_numpy() == 1, prior)
+    rows = sample.mapInArrow(features, "p int, has array<int>, v array<double>").toPandas()
+    # a bounded sample; in one order on every run
+    ordered = sorted((p, tuple(h), tuple(v)) for p, h, v in zip(rows["p"], rows["has"], rows["v"], strict=True))
+    values = np.zeros((len(ordered), len(chosen)))
+    for i, (_, has, v) in enumerate(ordered):
+        values[i, list(has)] = v
+    weights, bias = fit_nnpu(values, np.array([p == 1 for p, _, _ in ordered]), prior)
     return Model(chosen, weights, bias)
 
 
