@@ -1,0 +1,18 @@
+"""The folder that driver and executors share for checkpoints and stream output."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` where the cluster names one; a temporary folder on a local master; else the warehouse."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if conf.get("spark.master", "").startswith(("local[", "local*")) or conf.get("spark.master") == "local":
+        return f"file://{tempfile.gettempdir()}/annalist-shared"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/annalist-shared"
