@@ -9,6 +9,12 @@ signature that both emit.  Whether the partitions are even enough for that is
 checked for every set; where one fails, its instance is run again with more
 partitions, at last with one for each shingle.
 
+There is more: a set with m signatures of an instance that may differ from a
+partner in k partitions shares at least m - k signatures with it.  So it may
+leave out its m - k - 1 commonest ones, in one order for all sets, and still
+shares one with every partner.  Signatures of many sets, such as those of a
+passage that stands everywhere, are left out so, and need no comparisons.
+
 Equal sets are one node from the start.  Sets that share a signature are
 compared to one of them (a star), which links nearly all that are linked.  Then
 components are taken, and only sets in different ones that share a signature
@@ -40,12 +46,16 @@ SHINGLE, PERCENT = 5, 75
 BAND = 1.6
 #: Partitions of the domain for each difference that is allowed, from the first try on.
 TRIES = (1.2, 1.35, 1.6, 2.0, 3.0, 6.0, 20.0, math.inf)
+#: Low bits of a signature that hold its band.
+BAND_BITS = 63
 #: Signatures in a bucket on average; a task holds one bucket's at a time.
 BUCKET = 1_000_000
 #: Sets of a group that are compared in one block.
 BLOCK = 512
+#: Sets that share a signature beyond which it is a common one.
+COMMON = 32
 #: Partners of a set that are tried in the rounds before all that are left.
-LIKELIEST = (1, 4)
+LIKELIEST = (1,)
 #: Members of a pivot that are checked by one task.
 STAR = 256
 
@@ -121,11 +131,16 @@ def first_try(upper: int) -> int:
     return len(TRIES) - 1
 
 
-def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, signature, band of each set that needs another try) over the instances in ``tries``."""
+def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, shared, failed) over the instances in ``tries``.
+
+    A signature's low bits are its band; ``shared`` is how many signatures its
+    set shares with any partner at least; ``failed`` has the band of each set
+    that needs another try.
+    """
     sizes = np.diff(first)
     band = np.searchsorted(uppers, sizes)
-    owners, signs, failed = [], [], []
+    owners, signs, shared, failed = [], [], [], []
     owner_of = np.repeat(np.arange(len(sizes)), sizes)
     for shift in (0, 1):
         # its own band's instance, and that of the band below if a linked set may lie there
@@ -156,14 +171,15 @@ def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries:
             sums = np.add.reduceat(content, at)
             mine = owner[at]
             owners.append(mine)
-            signs.append(mix(sums ^ mix(part[at] + salt[order][at])))
+            signs.append((mix(sums ^ mix(part[at] + salt[order][at])) & ~U(BAND_BITS)) | instance[mine].astype(U))
             used = np.bincount(mine, minlength=len(sizes))
             partner = np.where(shift == 1, upper, np.minimum(100 * sizes // PERCENT, 100 * upper // PERCENT))
             short = takes & (used <= most_apart(sizes, partner)) & (n_parts > 0)
             failed.append(instance[short])
+            shared.append(np.clip(used - most_apart(sizes, partner), 0, 65535)[mine])
     if not owners:
-        return np.zeros(0, int), np.zeros(0, U), np.zeros(0, int)
-    return np.concatenate(owners), np.concatenate(signs), np.concatenate(failed)
+        return np.zeros(0, int), np.zeros(0, U), np.zeros(0, int), np.zeros(0, int)
+    return tuple(map(np.concatenate, (owners, signs, shared, failed)))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -183,10 +199,11 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int], total: int) -> DataFrame:
-    """(kind, a, b, members): what sharing signatures gives.
+    """(kind, a, b, members, shared): what sharing signatures gives.
 
     kind 0: a candidate pair of nodes; kind 1: the nodes (members) of a group of
-    three or more, named a; kind 2: band a needs another try.
+    three or more, named a; kind 2: band a needs another try; kind 3: the nodes
+    of a common signature a, with the signatures each shares at least.
     """
     buckets = max(1, math.ceil(total / BUCKET))
     bits = U(64 - max(1, (buckets - 1).bit_length()))
@@ -195,28 +212,32 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
         for part in text_slices(batches):
             first, hashes = shingle_sets(part["text"])
             nodes, once = np.unique(set_keys(first, hashes), return_index=True)
-            owner, signs, failed = signatures(first, hashes, uppers, tries)
+            owner, signs, shared, failed = signatures(first, hashes, uppers, tries)
             keep = np.zeros(len(first) - 1, bool)
             keep[once] = True
             chosen = keep[owner]
             keys = set_keys(first, hashes)[owner[chosen]]
-            signs = signs[chosen]
+            signs, shared = signs[chosen], shared[chosen].astype(np.uint16)
             bucket = (signs >> bits).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, signs, keys = bucket[order], signs[order], keys[order]
+            bucket, signs, keys, shared = bucket[order], signs[order], keys[order], shared[order]
             cut = np.flatnonzero(np.diff(bucket)) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])
-            rows = [(int(bucket[a]), signs[a:b].tobytes() + keys[a:b].tobytes()) for a, b in zip(starts, ends, strict=True) if b > a]
+            rows = [(int(bucket[a]), signs[a:b].tobytes() + keys[a:b].tobytes() + shared[a:b].tobytes()) for a, b in zip(starts, ends, strict=True) if b > a]
             rows += [(-1 - int(b), b"") for b in np.unique(failed)]
             if rows:
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
-    def groups(signs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch | None:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "a", "b", "members", "shared"])
+
+    def groups(signs: np.ndarray, keys: np.ndarray, shared: np.ndarray) -> pa.RecordBatch | None:
         order = np.lexsort((keys, signs))
-        signs, keys = signs[order], keys[order]
+        signs, keys, shared = signs[order], keys[order], shared[order]
         new = np.ones(len(signs), bool)
         new[1:] = (signs[1:] != signs[:-1]) | (keys[1:] != keys[:-1])
-        signs, keys = signs[new], keys[new]
+        signs, keys, shared = signs[new], keys[new], shared[new]
         start = np.ones(len(signs), bool)
         start[1:] = signs[1:] != signs[:-1]
         at = np.flatnonzero(start)
@@ -225,31 +246,27 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
         pivot = np.repeat(keys[at], sizes)
         pairs = np.unique(np.stack([pivot, keys], axis=1)[several & ~start], axis=0)
         members: dict[int, np.ndarray] = {}
+        rows = [(0, x, y, None, None) for x, y in pairs.tolist()]
         for a, n in zip(at[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             mine = keys[a : a + n]
-            members[int(mix(np.array([mix(mine.view(U)).sum()], U)).view(np.int64)[0])] = mine
-        if not len(pairs):
-            return None
-        kinds = [0] * len(pairs) + [1] * len(members)
-        return pa.record_batch(
-            [
-                pa.array(kinds, pa.int32()),
-                pa.array(pairs[:, 0].tolist() + list(members), pa.int64()),
-                pa.array(pairs[:, 1].tolist() + [0] * len(members), pa.int64()),
-                pa.array([None] * len(pairs) + list(members.values()), pa.list_(pa.int64())),
-            ],
-            ["kind", "a", "b", "members"],
-        )
+            if n > COMMON:
+                rows.append((3, int(signs[a].view(np.int64)), 0, mine, shared[a : a + n].astype(np.int32)))
+            else:
+                members[int(mix(np.array([mix(mine.view(U)).sum()], U)).view(np.int64)[0])] = mine
+        rows += [(1, k, 0, m, None) for k, m in members.items()]
+        return batch_of(rows) if rows else None
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                signs = np.concatenate([np.frombuffer(x, U, len(x) // 16) for x in held])
-                keys = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in held])
+                n = [len(x) // 18 for x in held]
+                signs = np.concatenate([np.frombuffer(x, U, k) for x, k in zip(held, n, strict=True)])
+                keys = np.concatenate([np.frombuffer(x, np.int64, k, 8 * k) for x, k in zip(held, n, strict=True)])
+                shared = np.concatenate([np.frombuffer(x, np.uint16, k, 16 * k) for x, k in zip(held, n, strict=True)])
                 held.clear()
-                out = groups(signs, keys)
+                out = groups(signs, keys, shared)
                 if out is not None:
                     yield out
 
@@ -259,14 +276,14 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
                     yield from flush()
                     now = bucket
                     if bucket < 0:
-                        yield pa.record_batch([pa.array([2], pa.int32()), pa.array([-1 - bucket], pa.int64()), pa.array([0], pa.int64()), pa.array([None], pa.list_(pa.int64()))], ["kind", "a", "b", "members"])
+                        yield batch_of([(2, -1 - bucket, 0, None, None)])
                 if data:
                     held.append(data)
         yield from flush()
 
     spark = docs.sparkSession
     dealt = docs.select("doc_id", "text").mapInArrow(emit, "bucket bigint, data binary").repartition(max(shuffle_partitions(spark), 1), "bucket")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(reduce, "kind int, a bigint, b bigint, members array<bigint>")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(reduce, "kind int, a bigint, b bigint, members array<bigint>, shared array<int>")
 
 
 def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -338,13 +355,27 @@ def check_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFram
     return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(check, "a bigint, b bigint")
 
 
+def groups_of(found: DataFrame) -> DataFrame:
+    """(group, node): the sets to be compared with each other.
+
+    Of its common signatures each set leaves out as many as it can spare,
+    commonest first; small groups stay as they are, those of equal members once.
+    """
+    small = found.where("kind = 1").groupBy("a").agg(F.first("members").alias("members")).select(F.col("a").alias("group"), F.explode("members").alias("node"))
+    zipped = F.explode(F.arrays_zip("members", "shared")).alias("m")
+    common = found.where("kind = 3").select("round", F.col("a").alias("group"), F.size("members").alias("size"), zipped).select("round", "group", "size", F.col("m.members").alias("node"), F.col("m.shared").alias("shared"))
+    of_instance = Window.partitionBy("round", "node", F.col("group").bitwiseAND(F.lit(BAND_BITS).cast("bigint"))).orderBy(F.desc("size"), "group")
+    kept = common.withColumn("n", F.row_number().over(of_instance)).where("n >= shared")
+    return small.unionByName(kept.select("group", "node"))
+
+
 def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs of a group's nodes that lie in different components and may be linked.
 
     A group is cut into blocks by hash; every two of its blocks meet in a task.
     ``most``: only so many of the likeliest partners of each node in a task.
     """
-    members = groups.select("group", F.explode("members").alias("node")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = groups.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = members.groupBy("group").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     blocks = F.ceil(F.col("size") / BLOCK)
     placed = members.join(mixed.select("group", blocks.alias("blocks")), "group").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -406,16 +437,17 @@ def components(docs: DataFrame) -> DataFrame:
         return profile.select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("root"))
     uppers = bands(row["most"])
     tries = {b: first_try(int(u)) for b, u in enumerate(uppers)}
-    found = None
+    found, rounds = None, 0
     while tries:
         shared = materialise(shared_signatures(docs, uppers, tries, int(0.7 * row["total"])))
         again = [r["a"] for r in shared.where("kind = 2").select("a").distinct().collect()]
         tries = {b: tries[b] + 1 for b in again}
-        found = shared if found is None else found.unionByName(shared)
+        shared = shared.withColumn("round", F.lit(rounds))
+        found, rounds = shared if found is None else found.unionByName(shared), rounds + 1
     star = found.where("kind = 0").select("a", "b").distinct()
     links = materialise(check_links(may_link(star, nodes), nodes, docs))
     labels = connected_components(links)
-    groups = found.where("kind = 1").groupBy(F.col("a").alias("group")).agg(F.first("members").alias("members"))
+    groups = materialise(groups_of(found))
     # the likeliest partners first, as each link found spares a whole component's pairs; then all that are left
     for most in (*LIKELIEST, None):
         across = materialise(pairs_across(groups, labels, nodes, most))

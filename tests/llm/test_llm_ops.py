@@ -240,6 +240,7 @@ def test_jaccard_join(docs, empty):
 def test_jaccard_join_of_near_copies_with_a_common_passage(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     monkeypatch.setattr(jaccard_join, "STAR", 3)
+    monkeypatch.setattr(jaccard_join, "COMMON", 4)
     monkeypatch.setattr(jaccard_join, "BUCKET", 500)
     draw = np.random.default_rng(seed)
     passage = "this passage stands in many of the texts here and is longer than five words"
