@@ -519,3 +519,139 @@ def a14(spark, sf_dir):
 def v3(spark, sf_dir):
     part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("predicted"), F.col("p_type").alias("gold"))
     return evaluate.token_f1(part)
+
+
+@register("X4_split_turns", "SELECT conv_id AS doc_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'user') AS n_user FROM conversations GROUP BY 1")
+def x4(spark, sf_dir):
+    from annalist.operators.extract import split_turns
+
+    line = F.concat_ws("", "role", F.lit(": "), F.coalesce("text", F.lit("")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda t: t["line"]), "\n")
+    docs = load(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(whole.alias("text"))
+    return split_turns(docs).groupBy("doc_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("speaker") == "user").alias("n_user"))
+
+
+@register("X12_extract_rules", """WITH e AS (SELECT event_id, user_id, ['agent.created','skill.used','chat.message','agent.deployed','fact.observed'][1 + event_id % 5] AS a FROM events)
+SELECT type, count(*) AS n FROM (SELECT 'MEMBER_OF' AS type FROM e UNION ALL SELECT 'AUTHORED' FROM e WHERE a = 'agent.created' UNION ALL SELECT 'USED_SKILL' FROM e WHERE a = 'skill.used' UNION ALL SELECT 'PARTICIPATED_IN' FROM e WHERE a = 'chat.message' UNION ALL SELECT unnest(['DEPLOYED','HAS_STATUS']) FROM e WHERE a = 'agent.deployed' UNION ALL SELECT 'DECIDED' FROM e WHERE a = 'fact.observed') GROUP BY 1""")
+def x12(spark, sf_dir):
+    from annalist.operators.extract import extract_rules
+
+    kinds = F.array(*map(F.lit, ["agent.created", "skill.used", "chat.message", "agent.deployed", "fact.observed"]))
+    action = F.element_at(kinds, (1 + F.col("event_id") % 5).cast("int"))
+    e = load(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").alias("occurred_at"), action.alias("action_type"), (F.col("user_id") % 7).alias("org_id"), "user_id", (F.col("user_id") % 11).alias("agent_id"), F.lit(None).cast("string").alias("server_id"),
+        F.col("event_type").alias("skill_id"), (F.col("user_id") % 13).alias("chat_id"), F.lit(None).cast("string").alias("target_user_id"), F.concat(F.lit("value is "), F.col("value").cast("string")).alias("statement"),
+    )
+    return extract_rules(e).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@register("X13_extract_claims", "SELECT ['state','pref','record'][1 + event_id % 3] || ':u/' || user_id || ':' || event_type AS anchor, count(*) AS n, max(value) AS top FROM events GROUP BY 1")
+def x13(spark, sf_dir):
+    from annalist.operators.extract import extract_claims
+
+    kind = F.element_at(F.array(F.lit("state"), F.lit("preference"), F.lit("record")), (1 + F.col("event_id") % 3).cast("int"))
+    e = load(spark, sf_dir, "events").select("event_id", F.col("ts").alias("occurred_at"), "user_id", kind.alias("kind"), F.lit("u/{me}").alias("topic"), F.col("event_type").alias("key"), F.col("value").cast("string").alias("value"), F.lit(None).cast("array<string>").alias("evidence_ids"))
+    return extract_claims(e).groupBy("anchor").agg(F.count("*").alias("n"), F.max(F.col("value").cast("double")).alias("top"))
+
+
+@register("X22_session_insights")
+def x22(spark, sf_dir):
+    from annalist.operators.extract import session_insights
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\bthe\b", "must").alias("text"))
+    return session_insights(docs)
+
+
+@register("X24_fold_topics", """WITH d AS (SELECT user_id AS topic, event_id, CAST(ts AS DATE) AS date, value FROM events)
+SELECT topic, '' AS unit, round(sum(value), 4) AS total, count(*) AS n FROM d GROUP BY 1""")
+def x24(spark, sf_dir):
+    from annalist.operators.extract import fold_topics
+
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("topic"), F.col("event_id").cast("string").alias("fact"), F.to_date("ts").alias("date"), F.lit("add").alias("op"), F.col("value").alias("qty"), F.lit("").alias("unit"))
+    return fold_topics(e).withColumn("total", F.round("total", 4))
+
+
+@register("K3_rank_facts", f"""WITH f AS (SELECT user_id % 20 AS query_id, event_id AS node_id, round(value * CASE event_type WHEN 'click' THEN greatest(0.35, power(2.0, -greatest((epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 86400000000.0, 0) / 365)) WHEN 'view' THEN 1.0 ELSE greatest(0.35, power(2.0, -greatest((epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 86400000000.0, 0) / 90)) END, 9) AS final FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, node_id) AS rank FROM f) SELECT query_id, node_id, final, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""")
+def k3(spark, sf_dir):
+    from annalist.operators.compose import rank_facts
+
+    kind = F.when(F.col("event_type") == "click", "learning").when(F.col("event_type") == "view", "state").otherwise("deviation")
+    facts = load(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("query_id"), F.col("event_id").alias("node_id"), F.col("value").alias("score"), kind.alias("kind"), F.lit(None).cast("string").alias("half_life"), F.col("ts").alias("stamp"), F.lit(1).alias("observed_count"), F.lit("committed").alias("status"))
+    return rank_facts(facts, now()).select("query_id", "node_id", "final", "rank")
+
+
+@register("K10_projection", """WITH i AS (SELECT o_custkey AS caller_id, o_orderkey AS item_id, o_orderpriority || o_orderkey AS text, o_orderdate AS stamp, CASE o_orderstatus WHEN 'F' THEN 0.0 WHEN 'O' THEN 1.0 ELSE 2.0 END AS tier FROM orders),
+r AS (SELECT *, row_number() OVER w AS rank, sum(length(text)) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM i WINDOW w AS (PARTITION BY caller_id ORDER BY tier, stamp DESC, item_id))
+SELECT caller_id, CAST(rank AS INTEGER) AS rank, item_id, CAST(used AS BIGINT) AS used FROM r WHERE used <= 80""")
+def k10(spark, sf_dir):
+    from annalist.operators.compose import projection
+
+    tier = F.when(F.col("o_orderstatus") == "F", "endorsed").when(F.col("o_orderstatus") == "O", "corroborated").otherwise("probation")
+    items = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("caller_id"), F.lit(0).alias("section"), tier.alias("tier"), F.lit(False).alias("unprompted"), F.col("o_orderdate").alias("stamp"), F.col("o_orderkey").alias("item_id"), F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).alias("text"))
+    return projection(items, 20)
+
+
+@register("K8_packet")
+def k8(spark, sf_dir):
+    from annalist.operators.compose import packet
+
+    chunks = retrieve.chunks_of(load(spark, sf_dir, "documents"))
+    hits = retrieve.cap_per_doc(lexical(spark, sf_dir), 2, 5).join(chunks, ["doc_id", "ordinal"])
+    facts = hits.select("query_id", "rank", F.concat_ws("#", "doc_id", "ordinal").alias("node_id"), F.substring("content", 1, 60).alias("fact"))
+    return packet(facts, hits)
+
+
+@register("N3_note_as_of", "SELECT user_id AS note_id, max_by(event_type, event_id) AS body, max(event_id) AS version FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 10 DAY FROM events) GROUP BY 1")
+def n3(spark, sf_dir):
+    from annalist.operators.compose import note_as_of
+
+    e = load(spark, sf_dir, "events")
+    cutoff = e.agg(F.max("ts") - F.expr("INTERVAL 10 DAYS")).scalar()
+    return note_as_of(e.select(F.col("user_id").alias("note_id"), F.col("event_type").alias("body"), F.col("event_id").alias("version"), F.col("ts").alias("created_at")), cutoff)
+
+
+@register("B17_unit_access", """WITH RECURSIVE u AS (SELECT 'r' || r_regionkey AS unit_id, CAST(NULL AS VARCHAR) AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+up(unit_id, ancestor_id, distance) AS (SELECT unit_id, unit_id, 0 FROM u UNION ALL SELECT up.unit_id, u.parent_id, up.distance + 1 FROM up JOIN u ON up.ancestor_id = u.unit_id WHERE u.parent_id IS NOT NULL),
+m AS (SELECT s_suppkey AS user_id, CASE WHEN s_suppkey % 3 = 0 THEN 'r' || (s_nationkey % 5) ELSE 'n' || s_nationkey END AS unit_id, CASE WHEN s_suppkey % 2 = 0 THEN 'admin' ELSE 'member' END AS role FROM supplier)
+SELECT user_id, up.unit_id, CASE WHEN distance = 0 THEN 'write' WHEN ancestor_id IN ('r0', 'r2') THEN 'read' ELSE 'administer' END AS access FROM m JOIN up ON m.unit_id = up.ancestor_id WHERE distance = 0 OR role = 'admin'""")
+def b17(spark, sf_dir):
+    tree = units(spark, sf_dir).where("unit_id not like 'c%'")
+    key = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("r"), F.col("s_nationkey") % 5)).otherwise(F.concat(F.lit("n"), "s_nationkey"))
+    members = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("user_id"), key.alias("unit_id"), F.when(F.col("s_suppkey") % 2 == 0, "admin").otherwise("member").alias("role"))
+    policies = tree.select("unit_id", F.col("unit_id").isin("r0", "r2").alias("read_descendants"))
+    return graph.unit_access(graph.unit_closure(tree), members, policies)
+
+
+@register("R8_title_leg", r"""WITH t AS (SELECT p_partkey AS doc_id, unnest(list_distinct(list_transform(regexp_extract_all(p_name, '[a-zA-Z0-9_]{3,}'), lambda x: lower(x)))) AS term FROM part),
+q AS (SELECT DISTINCT s_suppkey AS query_id, lower(p_type_word) AS term FROM (SELECT s_suppkey, unnest(list_slice(regexp_extract_all(p_name, '[a-zA-Z0-9_]{3,}'), 1, 8)) AS p_type_word FROM supplier JOIN part ON p_partkey = s_suppkey)),
+m AS (SELECT DISTINCT query_id, doc_id FROM t JOIN q USING (term)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM m)
+SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
+def r8(spark, sf_dir):
+    part, supplier = load(spark, sf_dir, "part"), load(spark, sf_dir, "supplier")
+    asked = supplier.join(part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("query_id"), F.col("p_name").alias("question"))
+    return retrieve.title_leg(asked, part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title")))
+
+
+@register("G20_sweep_working", "SELECT event_type, count(*) AS n FROM events WHERE NOT (value > 10 AND ts <= (SELECT max(ts) - INTERVAL 14 DAY FROM events)) GROUP BY 1")
+def g20(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_type", F.when(F.col("value") > 10, "working").otherwise("committed").alias("status"), (F.col("ts") + F.expr("INTERVAL 14 DAYS")).alias("expires_at"))
+    return governance.sweep_working(e, load(spark, sf_dir, "events").agg(F.max("ts")).scalar()).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@register("A18_token_cost", "SELECT event_type AS model, round(sum(value * 2 + value * 3 + value * 2 * 0.1 + value * 2 * 1.25), 3) AS cost FROM events GROUP BY 1")
+def a18(spark, sf_dir):
+    e, v = load(spark, sf_dir, "events"), F.col("value")
+    tokens = e.select(F.col("event_type").alias("model"), v.alias("input"), v.alias("output"), v.alias("cache_read"), v.alias("cache_write"))
+    return feedback.price_tokens(tokens, e.select(F.col("event_type").alias("model")).distinct().select("model", F.lit(2.0).alias("input_price"), F.lit(3.0).alias("output_price"))).withColumn("cost", F.round("cost", 3))
+
+
+@register("V9_ablation", "SELECT event_type AS arm, list_sort(list(value))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_cost, round(avg(CAST(value > 20 AS INTEGER)), 6) AS accuracy FROM events GROUP BY 1")
+def v9(spark, sf_dir):
+    return evaluate.ablation(load(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), F.col("value").alias("cost"), (F.col("value") > 20).alias("correct")))
+
+
+@register("V6_compare_runs", "WITH r AS (SELECT event_type AS run, user_id AS id, max(value) > 50 AS correct FROM events GROUP BY 1, 2), s AS (SELECT id FROM r GROUP BY 1 HAVING count(DISTINCT run) = (SELECT count(DISTINCT run) FROM r)) SELECT run, count(*) AS n, round(avg(CAST(correct AS INTEGER)), 6) AS accuracy FROM r WHERE id IN (SELECT id FROM s) GROUP BY 1")
+def v6(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run"), F.col("user_id").alias("id")).agg((F.max("value") > 50).alias("correct"))
+    return evaluate.compare_runs(rows)
