@@ -142,3 +142,47 @@ def retract(nodes: DataFrame, requests: DataFrame) -> DataFrame:
 def ingest_status(reason: Column) -> Column:
     """G26."""
     return F.when(reason.isNull(), "processed").when(reason == "duplicate", "duplicate").when(reason.startswith("consent:"), "consent_blocked").when(reason.startswith("salience:") | reason.startswith("budget:"), "declined").otherwise("policy_dropped")
+
+
+def endorse(nodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """Endorsers added and withdrawn as a set; the last request of a user on a node counts."""
+    last = requests.groupBy("node_id", "user_id").agg(F.max_by("op", F.struct("at", "op")).alias("op"))
+    per = last.groupBy("node_id").agg(F.collect_set(F.when(F.col("op") == "endorse", F.col("user_id"))).alias("_in"), F.collect_set(F.when(F.col("op") == "withdraw", F.col("user_id"))).alias("_out"))
+    none = F.array().cast("array<string>")
+    merged = F.array_sort(F.array_except(F.array_union(F.coalesce("endorsed_by", none), F.coalesce("_in", none)), F.coalesce("_out", none)))
+    return nodes.join(per, "node_id", "left").withColumn("endorsed_by", merged).drop("_in", "_out")
+
+
+def publish(personal: DataFrame, shared: DataFrame) -> DataFrame:
+    """What becomes of each personal node: refused for personal data, merged into equal content, or published,
+    beside a conflicting one under its own key."""
+    target = shared.select("type", "key", F.col("name").alias("_name"))
+    met = personal.join(target, ["type", "key"], "left")
+    bare = F.size(pii_kinds(F.concat_ws("\n", "name", "summary"))) == 0
+    outcome = F.when(~bare, "refused").when(F.col("_name").isNull(), "published").when(F.col("_name") == F.col("name"), "merged").otherwise("contested")
+    key = F.when(outcome == "contested", F.concat_ws("~", "key", "user_id")).otherwise(F.col("key"))
+    return met.withColumn("outcome", outcome).withColumn("shared_key", F.when(outcome != "refused", key)).drop("_name")
+
+
+def depart(tables: dict[str, DataFrame], user: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every table without the user's own rows, and a certificate: rows removed of each, with a digest over them."""
+    mine = (F.col("scope") == "user") & (F.col("scope_id") == user)
+    counts = None
+    for name, df in sorted(tables.items()):
+        one = df.agg(F.count_if(F.coalesce(mine, F.lit(False))).alias("removed")).select(F.lit(name).alias("table"), "removed")
+        counts = one if counts is None else counts.unionByName(one)
+    lines = F.array_sort(F.collect_list(F.struct("table", "removed")))
+    certificate = counts.agg(F.to_json(lines).alias("counts")).withColumn("sha256", F.sha2("counts", 256))
+    return {name: df.where(~F.coalesce(mine, F.lit(False))) for name, df in tables.items()}, certificate
+
+
+def apply_dim_changes(dim: DataFrame, changes: DataFrame, key: list[str], value: str) -> DataFrame:
+    """The last change of each key wins, a null value removes it; ``version`` counts the changes."""
+    every = dim.select(*key, value, F.lit(None).cast("timestamp").alias("at")).unionByName(changes.select(*key, value, "at"))
+    last = every.groupBy(*key).agg(F.max_by(F.struct(value), F.struct(F.col("at").isNotNull(), "at")).alias("_v"), F.count("*").alias("version"))
+    return last.select(*key, F.col(f"_v.{value}").alias(value), "version").where(F.col(value).isNotNull())
+
+
+def curation_listing(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Documents with the most that any of their passages was served."""
+    return docs.join(chunks.groupBy("doc_id").agg(F.max("served_count").alias("max_served")), "doc_id", "left").fillna(0, ["max_served"])

@@ -90,3 +90,78 @@ def build_nodes(entities: DataFrame, key: list[str]) -> DataFrame:
         F.array_sort(F.collect_set(F.col("event_id").cast("string"))).alias("derived_from"), F.max("occurred_at").alias("last_observed_at"),
         F.when(F.bool_or(F.col("status") == "committed"), "committed").otherwise("working").alias("status"),
     )
+
+
+def end_entities(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Ended where the last word on an entity is absence, committed where it is presence; values are no entities."""
+    last = targets.groupBy("key").agg(F.max_by("presence", F.struct("at", "presence")).alias("_last"))
+    met = nodes.join(last, "key", "left")
+    entity = ~F.col("type").isin("Metric", "MetricValue")
+    status = F.when(entity & (F.col("_last") == "absent"), "ended").when(entity & (F.col("_last") == "present") & (F.col("status") == "ended"), "committed").otherwise(F.col("status"))
+    return met.withColumn("status", status).drop("_last")
+
+
+def resolve_alias(entities: DataFrame, rounds: int = 8) -> DataFrame:
+    """(key, canonical): names joined through aliases share the least of them; ``rounds`` bounds a chain's length by 2**rounds."""
+    pairs = entities.select("key", F.explode_outer("aliases").alias("other")).where("other is not null")
+    links = pairs.select(F.col("key").alias("a"), F.col("other").alias("b")).unionByName(pairs.select(F.col("other").alias("a"), F.col("key").alias("b"))).distinct()
+    best = links.select(F.col("a").alias("key")).unionByName(entities.select("key")).distinct().withColumn("canonical", F.col("key"))
+    for _ in range(rounds):
+        near = links.join(best.select(F.col("key").alias("b"), F.col("canonical").alias("_c")), "b").groupBy(F.col("a").alias("key")).agg(F.min("_c").alias("_n"))
+        best = best.join(near, "key", "left").select("key", F.least("canonical", "_n").alias("canonical"))
+    return best
+
+
+def invalidate_contradictions(edges: DataFrame, most: int = 5) -> DataFrame:
+    """Open edges of one source and type whose statements contradict: the older is closed at the newer's start."""
+    from annalist.functions.text import contradicts
+
+    open_ = edges.where("invalid_at is null")
+    newer = open_.select("src_id", "type", F.col("dst_id").alias("_dst"), F.col("fact").alias("_fact"), F.col("valid_at").alias("_at"))
+    met = open_.join(newer, ["src_id", "type"]).where((F.col("dst_id") != F.col("_dst")) & (F.col("_at") > F.col("valid_at")) & contradicts(F.col("fact"), F.col("_fact")))
+    order = Window.partitionBy("src_id", "type", "_dst").orderBy(F.desc("valid_at"), "edge_id")
+    hit = met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).groupBy("edge_id").agg(F.min("_at").alias("_closed"))
+    return edges.join(hit, "edge_id", "left").withColumn("invalid_at", F.coalesce("invalid_at", "_closed")).drop("_closed")
+
+
+def lift(nodes: DataFrame, units: DataFrame, tiers: tuple[str, ...] = ("corroborated", "endorsed")) -> DataFrame:
+    """Learnings of a unit at the named tiers copied one level up; once for equal content; none with personal data, none lifted before."""
+    from annalist.functions.text import pii_kinds
+
+    up = nodes.join(units.select("unit_id", "parent_id").where("parent_id is not null"), "unit_id")
+    clean = up.where(F.col("tier").isin(*tiers) & ~F.coalesce("lifted", F.lit(False)) & (F.size(pii_kinds(F.col("name"))) == 0))
+    new = clean.groupBy(F.col("parent_id").alias("unit_id"), "name").agg(F.max("tier").alias("tier"), F.count("*").alias("observed_count")).withColumn("lifted", F.lit(True))
+    return new.join(nodes.select("unit_id", "name"), ["unit_id", "name"], "left_anti")
+
+
+def build_registry(registrations: DataFrame) -> DataFrame:
+    """The last known version, owner and mode of each hop; its contract is the last one."""
+    order = Window.partitionBy("org_id", "name").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kept = [F.last(c, ignorenulls=True).over(order).alias(c) for c in ("version", "owner", "mode")]
+    return registrations.select("org_id", "name", *kept, F.last("contract").over(order).alias("contract")).distinct()
+
+
+def current_values(edges: DataFrame, prefixes: list[str]) -> DataFrame:
+    """T5: open values under key prefixes, newest first."""
+    wanted = F.lit(False)
+    for p in prefixes:
+        wanted = wanted | F.col("anchor_key").startswith(p)
+    return edges.where(wanted & F.col("invalid_at").isNull()).orderBy(F.desc("valid_at"), "anchor_key")
+
+
+def inject_values(queries: DataFrame, anchors: DataFrame, least: int = 2) -> DataFrame:
+    """Anchors that share ``least`` tokens or more with a question, with score 1."""
+    from annalist.functions.text import tokens
+
+    words = anchors.select("anchor_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("anchor_key"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))).alias("term"))
+    asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term"))
+    met = words.join(asked, "term").groupBy("query_id", "anchor_id").agg(F.count("*").alias("overlap"))
+    return met.where(F.col("overlap") >= least).withColumn("score", F.lit(1.0))
+
+
+def latest_decisions(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Proposals with the last decision on their (base hop, turn), pending without one."""
+    from annalist.functions.text import hop_base
+
+    last = decisions.withColumn("base", hop_base(F.col("hop"))).groupBy("base", "turn").agg(F.max_by("decision", F.struct("at", "decision")).alias("decision"))
+    return proposals.withColumn("base", hop_base(F.col("hop"))).join(last, ["base", "turn"], "left").fillna("pending", ["decision"])
