@@ -52,6 +52,8 @@ BAND_BITS = 63
 BUCKET = 1_000_000
 #: Sets of a group that are compared in one block.
 BLOCK = 512
+#: Pairs of sketches that are subtracted at once.
+COMPARED = 20_000
 #: Sets that share a signature beyond which it is a common one.
 COMMON = 32
 #: Partners of a set that are tried in the rounds before all that are left.
@@ -399,22 +401,23 @@ def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, most: i
     def compare(rows: list) -> Iterator[pa.RecordBatch]:
         mine, node, root, size = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
         bins = min(len(r[7]) for r in rows)
-        grid = np.stack([folded(r[7], bins) for r in rows])
-        one_block = rows[0][1] == rows[0][2]
-        found = []
-        for x in range(len(rows) - 1):
-            y = np.arange(x + 1, len(rows))
-            y = y[(root[y] != root[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x])) & (one_block | (mine[y] != mine[x]))]
-            if not len(y):
-                continue
-            apart = np.abs(grid[y] - grid[x]).sum(axis=1)
-            near = apart <= most_apart(size[y], size[x])
-            y, apart = y[near], apart[near]
-            if most is not None and len(y) > most:
-                y = y[np.argsort(apart / (size[y] + size[x]), kind="stable")[:most]]
-            found += [(min(node[x], z), max(node[x], z)) for z in node[y].tolist()]
-        if found:
-            yield pa.record_batch([pa.array([int(f[0]) for f in found], pa.int64()), pa.array([int(f[1]) for f in found], pa.int64())], ["a", "b"])
+        grid = np.stack([folded(r[7], bins) for r in rows]).astype(np.int16)
+        x, y = np.triu_indices(len(rows), 1)
+        ok = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))
+        if rows[0][1] != rows[0][2]:
+            ok &= mine[x] != mine[y]
+        x, y = x[ok], y[ok]
+        cuts = range(0, len(x), COMPARED)
+        apart = np.concatenate([np.abs(grid[x[c : c + COMPARED]] - grid[y[c : c + COMPARED]]).sum(axis=1, dtype=np.int32) for c in cuts] or [np.zeros(0, np.int32)])
+        near = apart <= most_apart(size[x], size[y])
+        x, y, apart = x[near], y[near], apart[near]
+        if most is not None and len(x):
+            order = np.lexsort((apart / (size[x] + size[y]), x))
+            x, y = x[order], y[order]
+            nth = np.arange(len(x)) - np.searchsorted(x, x)
+            x, y = x[nth < most], y[nth < most]
+        if len(x):
+            yield pa.record_batch([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
 
     return keyed.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
