@@ -17,19 +17,18 @@ def connected_components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     written to the shared folder after each, so no lineage builds up.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = materialise(pairs)
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select("a", "b")
-        root = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        root = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         after = materialise(small.unionByName(root.select("a", F.col("m").alias("b"))).distinct())
-        # done when nothing is both a child and a parent, and no child has two parents
-        open_ = after.select(F.col("b").alias("a")).intersect(after.select("a")).limit(1).count()
         pairs = after
-        if not open_ and not after.groupBy("a").count().where("count > 1").limit(1).count():
+        # done when nothing is both a child and a parent, and no child has two parents
+        ends = after.select(F.col("a").alias("n"), F.lit(1).alias("child")).unionByName(after.select(F.col("b").alias("n"), F.lit(0).alias("child")))
+        per = ends.groupBy("n").agg(F.sum("child").alias("children"), F.min("child").alias("least"))
+        if not per.where("children > 1 or (children = 1 and least = 0)").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
