@@ -77,14 +77,13 @@ def trust_tier(endorsed: Column, grounded: Column, observed: Column, passes: Col
     )
 
 
+# Importance by action.
+IMPORTANCE = {
+    "org.member_added": 0.8, "org.role_changed": 0.8, "agent.created": 0.8, "agent.deployed": 0.8, "mcp.deployed": 0.8, "skill.published": 0.8, "build.session.completed": 0.9,
+    "agent.decided": 0.9, "fact.observed": 0.9, "chat.message": 0.6, "skill.used": 0.4, "mcp.tool.invoked": 0.2, "tool.invoked": 0.2, "usage.recorded": 0.1,
+}
+
+
 def importance(action: Column) -> Column:
     """Importance by action; 0.5 if not listed."""
-    return (
-        F.when(action.isin("agent.build_completed", "agent.decided", "fact.observed"), 0.9)
-        .when(action.isin("org.member_added", "org.role_changed", "agent.created", "agent.deployed", "mcp.deployed", "skill.published"), 0.8)
-        .when(action.isin("chat.message", "chat.trace"), 0.6)
-        .when(action.isin("skill.used"), 0.4)
-        .when(action.isin("agent.tool_called", "mcp.tool.invoked"), 0.2)
-        .when(action.isin("usage.recorded"), 0.1)
-        .otherwise(0.5)
-    )
+    return F.coalesce(*[F.when(action == k, v) for k, v in IMPORTANCE.items()], F.lit(0.5))

@@ -16,7 +16,15 @@ ASSIGNED = (
 )
 TOKENS = (r"AKIA[0-9A-Z]{16}", r"ghp_[A-Za-z0-9]{20,}", r"xox[baprs]-[A-Za-z0-9-]{10,}", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----")
 NEGATIONS = ("not", "no", "never", "stopped", "deprecated", "removed", "former", "ended", "cancelled")
-STOP_TERMS = ("that", "this", "with", "from", "have", "will", "your", "which", "their", "there", "about", "would", "been", "were", "they", "what", "when", "where", "into", "than", "then", "them", "these", "those", "also")
+STOP_TERMS = tuple(
+    "this that with from have were been they their there which would about into also than then them these those such other more most some what when"
+    " where will your just like over only very much many each while after before because could should might shall being does".split()
+)
+ASKS_ASSISTANT = (
+    r"(?i)\b(you (told|said|mentioned|suggested|recommended|gave|shared|listed|explained|advised|described)|what did you\b|you'd (suggested|recommended|mentioned|said)"
+    r"|your (suggestions?|recommendations?|advice|tips?|explanation|answer)\b|(our|the) (previous |last |earlier |recent )?(conversation|chat|discussion)s? (about|on|regarding|where)\b"
+    r"|we (discussed|talked about|went over)\b)"
+)
 
 
 def slug(text: Column, limit: int = 200, default: str = "fact") -> Column:

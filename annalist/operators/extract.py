@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.functions.text import normalize_fact, sentences, slug
+from annalist.functions.text import ASKS_ASSISTANT, normalize_fact, sentences, slug
 
 # Closed word sets and rule tables.
 ABSENCE = ("absent", "ended", "deleted", "gone", "terminated", "removed")
@@ -36,10 +36,8 @@ def split_turns(docs: DataFrame, speakers: str = "user|human|assistant|system")
 
 
 def question_speaker(question: Column) -> Column:
-    """Whose words a question asks about."""
-    mine = question.rlike(r"(?iU)\b(did|do|have|had|was|were) (i|we)\b|\b(i|we) (said|told|asked|mentioned)\b")
-    yours = question.rlike(r"(?iU)\b(did|do|have) you\b|\byou (said|told|suggested|recommended|mentioned)\b")
-    return F.when(yours & ~mine, "assistant").when(mine & ~yours, "user")
+    """Whose words a question asks about: the assistant's where it says so, else the user's."""
+    return F.when(F.coalesce(question.rlike(ASKS_ASSISTANT), F.lit(False)), "assistant").otherwise("user")
 
 
 def hash_embed(texts: DataFrame, dim: int = 64, key: str = "id") -> DataFrame:
@@ -110,7 +108,7 @@ def presence_targets(claims: DataFrame) -> DataFrame:
 def session_insights(docs: DataFrame, most: int = 10, cut: int = 120) -> DataFrame:
     """(doc_id, n, kind, name): sentences of four words or more with a marker; the first marker listed wins."""
     each = docs.select("doc_id", F.posexplode(sentences(F.col("text"), 4)).alias("pos", "sentence"))
-    kind = F.coalesce(*[F.when(F.lower("sentence").rlike(rf"\b{m}\b"), k) for m, k in INSIGHT_MARKERS.items()])
+    kind = F.coalesce(*[F.when(F.array_contains(F.split(F.lower("sentence"), r"\s+"), m), k) for m, k in INSIGHT_MARKERS.items()])
     order = Window.partitionBy("doc_id").orderBy("pos")
     marked = each.withColumn("kind", kind).where("kind is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     return marked.select("doc_id", "n", "kind", F.substring("sentence", 1, cut).alias("name"))

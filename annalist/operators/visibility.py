@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from annalist.functions.scores import as_of
 
 # Named routes and the sources they read.
-ROUTES = {"onboarding": ("docs", "notes"), "incident": ("runs", "chat", "docs"), "tuning": ("runs", "ledger")}
+ROUTES = {
+    "coding_assistant": ("github_pr", "repo_files", "langgraph_store"),
+    "onboarding": ("docs", "decisions"),
+    "blast_radius": ("deploy", "mcp_tool_calls"),
+}
 
 
 def browse_filter(df: DataFrame, tenant: str | None, user: str, teams: list[str]) -> DataFrame:

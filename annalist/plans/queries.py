@@ -223,9 +223,12 @@ def g6(spark, sf_dir):
     return governance.leading_terms(load(spark, sf_dir, "documents"))
 
 
-@register("G7_distinctiveness", """WITH w AS (SELECT doc_id, lang, list_transform(regexp_extract_all(coalesce(text,''), '[a-zA-Z][a-zA-Z0-9_-]{3,}'), lambda t: lower(t)) AS ws FROM documents),
+STOP = ", ".join(f"'{t}'" for t in text.STOP_TERMS)
+
+
+@register("G7_distinctiveness", f"""WITH w AS (SELECT doc_id, lang, list_transform(regexp_extract_all(coalesce(text,''), '[a-zA-Z][a-zA-Z0-9_-]{{3,}}'), lambda t: lower(t)) AS ws FROM documents),
 e AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM w WHERE lang = 'en'),
-c AS (SELECT doc_id, term, count(*) AS times, min(pos) AS pos FROM e WHERE term NOT IN ('that','this','with','from','have','will','your','which','their','there','about','would','been','were','they','what','when','where','into','than','then','them','these','those','also') GROUP BY 1, 2),
+c AS (SELECT doc_id, term, count(*) AS times, min(pos) AS pos FROM e WHERE term NOT IN ({STOP}) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY times DESC, pos) AS rank FROM c),
 k AS (SELECT DISTINCT unnest(ws) AS term FROM w WHERE lang <> 'en')
 SELECT doc_id, round(count(*) FILTER (WHERE k.term IS NULL) / count(*), 6) AS distinctiveness FROM r LEFT JOIN k USING (term) WHERE rank <= 24 GROUP BY 1""")
@@ -453,7 +456,7 @@ def z2(spark, sf_dir):
 def s8(spark, sf_dir):
     from annalist.sources.producers import from_audit_log
 
-    action = F.when(F.col("event_type") == "click", "member_added").when(F.col("event_type") == "view", "role_changed").otherwise("other")
+    action = F.when(F.col("event_type") == "click", "member_added").when(F.col("event_type") == "view", "member_role_changed").otherwise("other")
     log = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("organization_id"), F.col("user_id").alias("actor_user_id"), action.alias("action"), F.col("user_id").alias("target_user_id"), F.col("ts").alias("created_at"))
     return from_audit_log(log).groupBy("action_type", "scope_id").agg(F.count("*").alias("n"))
 

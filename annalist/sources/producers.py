@@ -9,7 +9,7 @@ from annalist.functions.text import contract_at_least
 from annalist.operators.ledger import require_columns
 
 # The actions of the audit log that are kept, and what they are called.
-AUDIT_ACTIONS = {"member_added": "org.member_added", "member_removed": "org.member_removed", "role_changed": "org.role_changed"}
+AUDIT_ACTIONS = {"member_added": "org.member_added", "member_role_changed": "org.role_changed", "member_removed": "org.member_removed"}
 RUN_RESULTS = ("success", "error", "max_turns", "cancelled")
 
 
@@ -18,7 +18,7 @@ def from_audit_log(df: DataFrame) -> DataFrame:
     require_columns(df, ["id", "organization_id", "actor_user_id", "action", "target_user_id", "created_at"])
     action = F.coalesce(*[F.when(F.col("action") == k, v) for k, v in AUDIT_ACTIONS.items()])
     return df.where(action.isNotNull()).select(
-        F.concat(F.lit("audit:"), F.col("id").cast("string")).alias("event_id"), F.col("created_at").alias("occurred_at"), F.lit("org").alias("scope"),
+        F.concat(F.lit("backend_audit:"), F.col("id").cast("string")).alias("event_id"), F.col("created_at").alias("occurred_at"), F.lit("org").alias("scope"),
         F.col("organization_id").cast("string").alias("scope_id"), action.alias("action_type"), F.col("actor_user_id").alias("actor_id"), F.col("target_user_id").alias("target_id"),
     )
 
@@ -37,8 +37,8 @@ def from_conversation_store(df: DataFrame) -> DataFrame:
     parts = F.split("prefix", r"\.")
     at = lambda odd: F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == odd), lambda i: F.get(parts, i))
     pairs = F.map_from_arrays(F.slice(at(0), 1, F.size(at(1))), at(1))
-    kind = F.when(F.col("value.type") == "MESSAGE", "chat.message").when(F.col("value.type") == "LLM_TRACE", "agent.tool_called").otherwise("agent.decided")
-    return df.select(F.concat_ws(":", F.lit("store"), "prefix", "key").alias("event_id"), pairs.alias("subject"), kind.alias("action_type"), F.when(kind == "chat.message", F.col("value.data")).alias("content"), F.col("updated_at").alias("occurred_at"))
+    kind = F.when(F.upper("value.type") == "MESSAGE", "chat.message").when(F.upper("value.data.trace_type") == "LLM", "agent.tool_called").otherwise("agent.decided")
+    return df.select(F.concat_ws(":", F.lit("store"), "prefix", "key").alias("event_id"), pairs.alias("subject"), kind.alias("action_type"), F.when(kind == "chat.message", F.col("value.data.content")).alias("content"), F.col("updated_at").alias("occurred_at"))
 
 
 def normalize_runs(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -97,6 +97,8 @@ def test_turns_insights_and_embedding(spark):
     docs = spark.createDataFrame([(1, "intro\nuser: hi there\nmore\nassistant: you must always restart it first. Fine.")], "doc_id int, text string")
     assert [(r["speaker"], r["body"].count("\n")) for r in extract.split_turns(docs).orderBy("turn").collect()] == [("user", 1), ("assistant", 0)]
     assert [r["kind"] for r in extract.session_insights(docs).collect()] == ["convention"]
+    asked = spark.createDataFrame([("What did you recommend?",), ("Where do I live?",), (None,)], "q string")
+    assert [r[0] for r in asked.select(extract.question_speaker(F.col("q"))).collect()] == ["assistant", "user", "user"]
     v = extract.hash_embed(spark.createDataFrame([(1, "a b a"), (2, None)], "id int, text string"), 16).orderBy("id").collect()
     assert sum(x * x for x in v[0]["embedding"]) == pytest.approx(1) and not any(v[1]["embedding"])
     facts = spark.createDataFrame([(1, "hi   there more"), (1, "not in it at all")], "doc_id int, span string")
@@ -124,7 +126,7 @@ def test_notes(spark):
 
 
 def test_producers(spark):
-    store = spark.createDataFrame([("user.1.project.2", "k", ("MESSAGE", "hi"), at(0))], "prefix string, key string, value struct<type:string,data:string>, updated_at timestamp")
+    store = spark.createDataFrame([("user.1.project.2", "k", ("MESSAGE", ("hi", None)), at(0))], "prefix string, key string, value struct<type:string,data:struct<content:string,trace_type:string>>, updated_at timestamp")
     r = producers.from_conversation_store(store).first()
     assert r["subject"] == {"user": "1", "project": "2"} and r["action_type"] == "chat.message" and r["content"] == "hi"
     with pytest.raises(ValueError, match="target_user_id"):
@@ -154,4 +156,3 @@ def test_lift_and_registry(spark):
     assert [(r["unit_id"], r["name"], r["observed_count"]) for r in graph.lift(nodes, units).collect()] == [("top", "learned x", 2)]
     regs = spark.createDataFrame([("o", "h", "1", "me", None, "c1", 1, "a"), ("o", "h", None, None, "auto", "c2", 2, "b")], "org_id string, name string, version string, owner string, mode string, contract string, at int, event_id string")
     assert tuple(graph.build_registry(regs).first()) == ("o", "h", "1", "me", "auto", "c2")
-    assert F is not None
