@@ -18,8 +18,8 @@ passage that stands everywhere, are left out so, and need no comparisons.
 Equal sets are one node from the start.  Sets that share a signature are
 compared to one of them (a star), which links nearly all that are linked.  Then
 components are taken, and only sets in different ones that share a signature
-are compared with each other, in blocks, by a bound first: the partition sizes
-of two sets differ by no more than the sets do.  Every link that is reported or
+are compared with each other, in blocks, by a bound first: sketches of the
+parity of shingles on each of many bits differ by no more than the sets do.  Every link that is reported or
 used is checked on the sets themselves.
 
 Nulls and oddities: a null or wordless text has no shingles and is linked with
@@ -88,23 +88,31 @@ def set_keys(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return mix((sums[first[1:]] - sums[first[:-1]]) ^ (np.diff(first).astype(U) << U(40))).view(np.int64)
 
 
-def sketch_bins(n: np.ndarray) -> np.ndarray:
-    """Bins of the sketch of a set of n shingles: a power of two from n / 4 on, 64 at least."""
-    return (1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 4)), 6, 14).astype(int)).astype(np.int64)
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the sketch of a set of n shingles: a power of two from 4 n on, 256 at least."""
+    return (1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) * 4)), 8, 20).astype(int)).astype(np.int64)
 
 
 def sketches(first: np.ndarray, hashes: np.ndarray) -> list[bytes]:
-    """Counts of each set's shingles by the low bits of a hash, at most 255 in a bin."""
-    bins = sketch_bins(np.diff(first))
-    base = np.concatenate([[0], np.cumsum(bins)])
-    owner = np.repeat(np.arange(len(bins)), np.diff(first))
-    place = base[owner] + (mix(hashes ^ U(0xA5A5A5A5)) & (bins[owner] - 1).astype(U)).astype(np.int64)
-    counts = np.minimum(np.bincount(place, minlength=base[-1]), 255).astype(np.uint8).tobytes()
-    return [counts[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+    """For each set, whether an odd number of its shingles falls on each bit of a hash.
+
+    Two sets differ in at least as many shingles as their sketches do in bits.
+    """
+    bits = sketch_bits(np.diff(first))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(bits)), np.diff(first))
+    place = base[owner] + (mix(hashes ^ U(0xA5A5A5A5)) & (bits[owner] - 1).astype(U)).astype(np.int64)
+    odd = np.packbits((np.bincount(place, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist(), strict=True)]
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of ``size`` bytes that the shingles of this longer one would have: its parts, bit by bit exclusive."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, U).reshape(-1, size // 8), axis=0)
 
 
-def folded(sketch: bytes, bins: int) -> np.ndarray:
-    return np.frombuffer(sketch, np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int32)
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 def most_apart(n: int | np.ndarray, m: int | np.ndarray):
@@ -298,8 +306,8 @@ def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for part in batches:
             keep = []
             for n, m, s, t in zip(*(part[c].to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True):
-                bins = min(len(s), len(t))
-                keep.append(int(np.abs(folded(s, bins) - folded(t, bins)).sum()) <= most_apart(n, m))
+                size = min(len(s), len(t))
+                keep.append(int(bits_apart(folded(s, size), folded(t, size))) <= most_apart(n, m))
             yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return sized.mapInArrow(run, "a bigint, b bigint")
@@ -375,21 +383,22 @@ def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, most: i
     """Pairs of a group's nodes that lie in different components and may be linked.
 
     A group is cut into blocks by hash; every two of its blocks meet in a task.
-    ``most``: only so many of the likeliest partners of each node in a task.
+    ``most``: only so many of the likeliest partners in a task, and only of
+    each node that is still alone.
     """
-    members = groups.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = groups.join(labels, "node", "left").withColumn("single", F.col("root").isNull()).withColumn("root", F.coalesce("root", "node"))
     mixed = members.groupBy("group").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     blocks = F.ceil(F.col("size") / BLOCK)
     placed = members.join(mixed.select("group", blocks.alias("blocks")), "group").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     sent = placed.join(nodes.select("node", "n_shingles", "sketch"), "node").select(
-        "group", "node", "root", "n_shingles", "sketch", "mine", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+        "group", "node", "root", "single", "n_shingles", "sketch", "mine", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
     )
-    keyed = sent.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "n_shingles", "sketch")
+    keyed = sent.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "n_shingles", "sketch", "single")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("group", "i", "j", "mine", "node", "root", "n_shingles", "sketch")), strict=True):
+            for row in zip(*(batch[c].to_pylist() for c in ("group", "i", "j", "mine", "node", "root", "n_shingles", "sketch", "single")), strict=True):
                 if row[:3] != now:
                     if len(held) > 1:
                         yield from compare(held)
@@ -400,18 +409,22 @@ def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, most: i
 
     def compare(rows: list) -> Iterator[pa.RecordBatch]:
         mine, node, root, size = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
-        bins = min(len(r[7]) for r in rows)
-        grid = np.stack([folded(r[7], bins) for r in rows]).astype(np.int16)
+        shortest = min(len(r[7]) for r in rows)
+        grid = np.stack([folded(r[7], shortest) for r in rows])
+        single = np.array([r[8] for r in rows])
         x, y = np.triu_indices(len(rows), 1)
         ok = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))
         if rows[0][1] != rows[0][2]:
             ok &= mine[x] != mine[y]
         x, y = x[ok], y[ok]
         cuts = range(0, len(x), COMPARED)
-        apart = np.concatenate([np.abs(grid[x[c : c + COMPARED]] - grid[y[c : c + COMPARED]]).sum(axis=1, dtype=np.int32) for c in cuts] or [np.zeros(0, np.int32)])
+        apart = np.concatenate([bits_apart(grid[x[c : c + COMPARED]], grid[y[c : c + COMPARED]]) for c in cuts] or [np.zeros(0, np.int64)])
         near = apart <= most_apart(size[x], size[y])
         x, y, apart = x[near], y[near], apart[near]
         if most is not None and len(x):
+            x, y, apart = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([apart, apart])
+            alone = single[x]
+            x, y, apart = x[alone], y[alone], apart[alone]
             order = np.lexsort((apart / (size[x] + size[y]), x))
             x, y = x[order], y[order]
             nth = np.arange(len(x)) - np.searchsorted(x, x)
