@@ -56,6 +56,8 @@ BLOCK = 512
 COMPARED = 20_000
 #: Sets that share a signature beyond which it is a common one.
 COMMON = 32
+#: Pairs that a task remembers having told, so as to tell them once.
+TOLD = 200_000
 #: Partners of a set that are tried in the rounds before all that are left.
 LIKELIEST = (1,)
 #: Members of a pivot that are checked by one task.
@@ -397,15 +399,27 @@ def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, most: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+        seen: set[tuple[int, int]] = set()
+
+        def fresh(rows: list) -> Iterator[pa.RecordBatch]:
+            """The pairs of a block that this task has not told yet."""
+            for batch in compare(rows):
+                new = [p for p in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True) if p not in seen]
+                if len(seen) > TOLD:
+                    seen.clear()
+                seen.update(new)
+                if new:
+                    yield pa.record_batch([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
+
         for batch in batches:
             for row in zip(*(batch[c].to_pylist() for c in ("group", "i", "j", "mine", "node", "root", "n_shingles", "sketch", "single")), strict=True):
                 if row[:3] != now:
                     if len(held) > 1:
-                        yield from compare(held)
+                        yield from fresh(held)
                     now, held = row[:3], []
                 held.append(row)
         if len(held) > 1:
-            yield from compare(held)
+            yield from fresh(held)
 
     def compare(rows: list) -> Iterator[pa.RecordBatch]:
         mine, node, root, size = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
