@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat_format, decontaminate, discriminant, jaccard_join, packing, secrets, suffix_dedup, toxicity
+from annalist.llm import backoff, chat_format, decontaminate, discriminant, jaccard_join, packing, secrets, suffix_dedup, toxicity
 from annalist.llm import quality_rules as rules
 from annalist.llm.common import held_out, table
 
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scores = discriminant.score(documents, discriminant.train(documents, table(spark, sf_dir, "labels")))
@@ -66,6 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_stupid_backoff": op2_stupid_backoff,
     "op3_quality_discriminant": op3_quality_discriminant,
     "op4_secret_scan": op4_secret_scan,
     "op5_chat_format": op5_chat_format,

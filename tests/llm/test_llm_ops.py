@@ -10,7 +10,7 @@ import pytest
 
 pytest.importorskip("annalist.llm")
 
-from annalist.llm import chat_format, decontaminate, discriminant, jaccard_join, packing, quality_rules, secrets, suffix_dedup, toxicity  # noqa: E402
+from annalist.llm import backoff, chat_format, decontaminate, discriminant, jaccard_join, packing, quality_rules, secrets, suffix_dedup, toxicity  # noqa: E402
 from annalist.llm.common import materialise  # noqa: E402
 from annalist.llm.components import connected_components  # noqa: E402
 
@@ -82,6 +82,50 @@ def test_nnpu_risk_is_not_driven_below_zero():
     assert loss[~positive].mean() - 0.3 * loss[positive].mean() > -0.05
 
 
+def plain_lm_score(words, count, total, alpha=0.4):
+    """(log score, words backed off) under ``count`` of n-grams of one to three words and ``total`` words."""
+    score, back = 0.0, 0
+    for i in range(len(words)):
+        could = min(i + 1, 3)
+        for n in range(could, -1, -1):
+            gram = tuple(words[i - n + 1 : i + 1])
+            if n == 0:
+                score += np.log(alpha) * could - np.log(total + 1)
+            elif count[gram] > 0:
+                score += np.log(alpha) * (could - n) + np.log(count[gram] / (count[gram[:-1]] if n > 1 else total))
+                break
+        back += n < could
+    return score, back
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_scores(spark, docs, empty, small, monkeypatch):
+    if small:
+        monkeypatch.setattr(backoff, "BUCKET", 100)
+        monkeypatch.setattr("annalist.llm.common.SLICE_BYTES", 300)
+    table = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(70, "neverseen"), (71, "the neverseen2 of")]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in table]
+    each = [collections.Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)) for w in words]
+    count, total = sum(each, collections.Counter()), sum(map(len, words))
+    want = []
+    for (d, _), w, own in zip(table, words, each, strict=True):
+        others = count.copy()
+        others.subtract(own)
+        want.append((d, len(w), plain_lm_score(w, count, total)[0], *plain_lm_score(w, others, total - len(w))))
+    got = rows(backoff.lm_scores(spark.createDataFrame(table, "doc_id long, text string")))
+    key = lambda r: (repr(r[0]), r[1], round(r[3], 4))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert (a[0], a[1], a[4]) == (b[0], b[1], b[4]) and a[2:4] == pytest.approx(b[2:4], abs=1e-6)
+    assert any(r[4] for r in got)
+    assert backoff.lm_scores(empty).count() == 0
+
+
+def test_lm_score_is_registered(spark):
+    from annalist.llm.queries import QUERIES
+
+    assert QUERIES["op2_stupid_backoff"](spark, "/root/testdata/sf0.001").where("log_score is not null").count() >= 200
+
+
 def test_discriminant(spark, docs, empty, labels):
     good = [(i, sentence(i, 60 + i % 40)) for i in range(200)]
     poor = [(1000 + i, " ".join(w + "%%%" for w in sentence(i, 50).upper().split())) for i in range(100)]
