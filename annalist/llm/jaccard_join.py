@@ -482,7 +482,7 @@ def components(docs: DataFrame) -> DataFrame:
     for most in (*LIKELIEST, None):
         across = materialise(pairs_across(groups, labels, nodes, most))
         if not across.limit(1).count():
-            break
+            continue
         more = materialise(check_links(across, nodes, docs))
         if more.limit(1).count():
             links = links.unionByName(more)

@@ -300,6 +300,20 @@ def test_jaccard_join_of_near_copies_with_a_common_passage(spark, seed, monkeypa
     assert rows(got) == plain_components(table)
 
 
+def test_jaccard_join_of_chains_between_linked_sets(spark):
+    """Chains of four texts that are linked to their neighbours only, over all orders of the nodes' keys."""
+    table, orders = [], set()
+    for salt in range(150):
+        words = [f"v{salt}x{i}" for i in range(40)]
+        chain = [" ".join([*words[:18], *(f"new{salt}x{i}" for i in range(k)), *words[18 + k :]]) for k in range(4)]
+        keys = jaccard_join.set_keys(*jaccard_join.shingle_sets(jaccard_join.pa.array(chain)))
+        orders.add(tuple(np.argsort(keys).tolist()))
+        table += [(4 * salt + k, t) for k, t in enumerate(chain)]
+    assert len(orders) == 24
+    got = rows(jaccard_join.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")))
+    assert got == sorted(((d, 36, d // 4 * 4) for d, _ in table), key=repr)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7), (200, 300), (300, 200)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
