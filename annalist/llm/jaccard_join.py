@@ -315,19 +315,24 @@ def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.mapInArrow(run, "a bigint, b bigint")
 
 
-def check_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def check_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, nameless: bool = True) -> DataFrame:
     """The pairs (a, b) whose sets are linked, by the sets themselves.
 
     Each member's set goes to its pivot's task once; members of a pivot are
-    dealt over as many tasks as their number asks for.
+    dealt over as many tasks as their number asks for.  ``nameless``: whether
+    there may be sets without a doc_id.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("salts"))
     salted = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     to_pivot = salted.select("a", "salt", F.col("b").alias("node"), F.lit(1).alias("member"))
     pivots = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")).select("a", "salt", F.col("a").alias("node"), F.lit(0).alias("member"))
-    wanted = to_pivot.unionByName(pivots).join(nodes.select("node", "doc_id"), "node")
-    by_doc = wanted.groupBy("doc_id", "node").agg(F.collect_list(F.struct("a", "salt", "member")).alias("to"))
-    carried = docs.select("doc_id", "text").join(by_doc, "doc_id")
+    wanted = to_pivot.unionByName(pivots).join(nodes.select("node", "doc_id", "text_key"), "node")
+    by_doc = wanted.groupBy("doc_id", "text_key", "node").agg(F.collect_list(F.struct("a", "salt", "member")).alias("to"))
+    carried = docs.select("doc_id", "text").join(by_doc.where("doc_id is not null").drop("text_key"), "doc_id")
+    if nameless:
+        # sets that only documents without doc_id hold are fetched by their text
+        by_text = docs.where("doc_id is null").withColumn("text_key", F.xxhash64("text")).join(by_doc.where("doc_id is null").drop("doc_id"), "text_key")
+        carried = carried.unionByName(by_text.dropDuplicates(["node", "text"]).drop("text_key"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -461,8 +466,8 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and root (null without shingles) of each document."""
     docs = docs.select("doc_id", "text")
     profile = materialise(profiles(docs))
-    nodes = profile.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
-    row = profile.agg(F.max("n_shingles").alias("most"), F.sum("n_shingles").alias("total")).first()
+    nodes = profile.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("text_key").alias("text_key"))
+    row = profile.agg(F.max("n_shingles").alias("most"), F.sum("n_shingles").alias("total"), F.max(F.col("doc_id").isNull()).alias("nameless")).first()
     if not row["most"]:
         return profile.select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("root"))
     uppers = bands(row["most"])
@@ -475,7 +480,7 @@ def components(docs: DataFrame) -> DataFrame:
         shared = shared.withColumn("round", F.lit(rounds))
         found, rounds = shared if found is None else found.unionByName(shared), rounds + 1
     star = found.where("kind = 0").select("a", "b").distinct()
-    links = materialise(check_links(may_link(star, nodes), nodes, docs))
+    links = materialise(check_links(may_link(star, nodes), nodes, docs, row["nameless"]))
     labels = connected_components(links)
     groups = materialise(groups_of(found))
     # the likeliest partners first, as each link found spares a whole component's pairs; then all that are left
@@ -483,7 +488,7 @@ def components(docs: DataFrame) -> DataFrame:
         across = materialise(pairs_across(groups, labels, nodes, most))
         if not across.limit(1).count():
             continue
-        more = materialise(check_links(across, nodes, docs))
+        more = materialise(check_links(across, nodes, docs, row["nameless"]))
         if more.limit(1).count():
             links = links.unionByName(more)
             labels = connected_components(links)

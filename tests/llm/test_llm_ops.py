@@ -314,6 +314,16 @@ def test_jaccard_join_of_chains_between_linked_sets(spark):
     assert got == sorted(((d, 36, d // 4 * 4) for d, _ in table), key=repr)
 
 
+def test_jaccard_join_of_near_copies_without_id(spark):
+    words = [f"n{i}" for i in range(43)]
+    chain = [" ".join([*words[:18], *(f"new{i}" for i in range(k)), *words[18 + k :]]) for k in range(3)]
+    alone = [" ".join(f"{x}{i}" for i in range(43)) for x in "uv"]
+    table = [(1, chain[0]), (None, chain[1]), (3, chain[2]), (None, alone[0]), (None, alone[0] + " more"), (None, alone[0] + " more"), (None, alone[1]), (8, alone[1] + " more")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    assert rows(jaccard_join.near_duplicates(docs)) == plain_components(table)
+    assert sorted((r["doc_id"] or 0) for r in jaccard_join.keep_one(docs).collect()) == [0, 1, 8]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7), (200, 300), (300, 200)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
