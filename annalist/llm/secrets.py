@@ -122,11 +122,11 @@ def train(docs: DataFrame) -> Models:
 
 
 def all_spans(text: str, models: Models, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans: base ones and random tokens that touch none of them."""
+    """Base spans, and all spans: base ones, and random tokens that stand in none of them, whole."""
     base = base_spans(text)
     more = []
     for m in TOKEN.finditer(text):
-        if models(m[0]) >= threshold and not any(s < m.end() and m.start() < e for s, e, _ in base):
+        if models(m[0]) >= threshold and not any(s <= m.start() and m.end() <= e for s, e, _ in base):
             more.append((m.start(), m.end(), "random"))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
