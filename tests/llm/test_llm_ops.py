@@ -372,9 +372,14 @@ def test_decontaminate(spark, docs, empty, bound):
     assert not decontaminate.decontaminate(docs, benchmark.limit(0), bound).where("contaminated").count()
 
 
-def plain_repeats(table, length, keep):
+def plain_repeats(table, length, keep, least=256):
     count, seen, out = collections.Counter(), set(), []
     texts = sorted(((d, (t or "").encode()) for d, t in table), key=lambda x: (x[0] is not None, x[0] or 0))
+    # rows equal in doc_id and text are one document where shared bytes are counted
+    holders = collections.defaultdict(set)
+    for d, b in texts:
+        for i in range(len(b) - least + 1):
+            holders[b[i : i + least]].add((d, b))
     for _, b in texts:
         count.update(b[i : i + length] for i in range(len(b) - length + 1))
     for d, b in texts:
@@ -388,7 +393,12 @@ def plain_repeats(table, length, keep):
         gone = np.cumsum(cover[:-1]) > 0
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        shared = np.zeros(len(b) + 1, int)
+        for i in range(len(b) - least + 1):
+            if len(holders[b[i : i + least]]) > 1:
+                shared[i] += 1
+                shared[i + least] -= 1
+        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), int((np.cumsum(shared) > 0).sum())))
     return sorted(out, key=repr)
 
 
@@ -396,9 +406,11 @@ def plain_repeats(table, length, keep):
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_suffix_dedup(spark, empty, keep, large, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "LARGE", large)
-    monkeypatch.setattr(suffix_dedup.removed_ranges, "__defaults__", (400, "none", large))
+    monkeypatch.setattr(suffix_dedup.removed_ranges, "__defaults__", (400, "none", large, 256))
     table = [(r[0], r[1]) for r in corpus() if r[0] not in (2, None)]
-    table += [(60, "abc " * 400), (61, "z" * 1200), (62, "tail " + "abc " * 300)]
+    table += [(60, "abc " * 400), (61, "z" * 1200), (62, "tail " + "abc " * 300), (63, "q" * 300), (64, "y" * 500 + "q" * 300)]
+    body = sentence(500, 90)
+    table += [(70, sentence(501, 40) + body[:300]), (71, body[:300] + sentence(502, 40)), (72, "u " + body[:399]), (73, body[:401] + "v"), (74, body[20:410])]
     docs = spark.createDataFrame(table, "doc_id long, text string")
     assert rows(suffix_dedup.dedup_digests(docs, keep=keep)) == plain_repeats(table, 400, keep)
     assert suffix_dedup.dedup_digests(empty, keep=keep).count() == 0
@@ -410,14 +422,25 @@ def test_suffix_dedup_of_repeated_rows(docs):
     assert suffix_dedup.deduplicate(docs).columns == docs.columns
 
 
-def test_factors_match_brute_force():
-    data = np.frombuffer(("banana bandana banana cabana " * 3).encode(), np.uint8)
-    starts = np.arange(len(data) - 6 + 1)
-    before, after = suffix_dedup.matched_before_after(data, starts, starts, 6)
-    text = data.tobytes()
-    for i in starts:
-        assert before[i] == (text[i : i + 6] in [text[j : j + 6] for j in range(i)])
-        assert after[i] == (text[i : i + 6] in [text[j : j + 6] for j in range(i + 1, len(text) - 5)])
+def common(a: bytes, b: bytes, most: int) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b), most)) if a[:most] != b[:most] else min(len(a[:most]), len(b[:most]))
+
+
+@pytest.mark.parametrize("length", [6, 8, 21, 40])
+@pytest.mark.parametrize("seed", range(3))
+def test_factors_match_brute_force(length, seed):
+    draw = np.random.default_rng(seed)
+    texts = [b"banana bandana banana cabana " * 3, b"na", b"cabana banana", b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", b"banana b\0\0na", bytes(draw.integers(97, 99, 60).astype(np.uint8))]
+    suffixes = suffix_dedup.Suffixes([np.frombuffer(x, np.uint8) for x in texts], length)
+    owner, within = (np.array(c) for c in zip(*[(k, i) for k, x in enumerate(texts) for i in range(len(x))], strict=True))
+    at, places = suffixes.starts[owner] + within, draw.permutation(len(owner))
+    order = suffixes.order(at, places)
+    tails = [texts[k][i : i + length] for k, i in zip(owner, within, strict=True)]
+    factor = suffix_dedup.longest_previous_factors(suffixes, at, order, places)
+    other = suffix_dedup.longest_elsewhere(suffixes, at, order, owner)
+    for i, tail in enumerate(tails):
+        assert factor[i] == max((common(tail, t, length) for j, t in enumerate(tails) if places[j] < places[i]), default=0)
+        assert other[i] == max(common(tail, t, length) for j, t in enumerate(tails) if owner[j] != owner[i])
 
 
 def plain_rules(text):
