@@ -165,54 +165,64 @@ def nearest_smaller(values: np.ndarray) -> np.ndarray:
     once, so the steps double.
     """
     before = np.arange(len(values)) - 1
+    open_ = np.arange(1, len(values))
     while True:
-        open_ = np.flatnonzero(before >= 0)
         open_ = open_[values[before[open_]] >= values[open_]]
         if not len(open_):
             return before
         before[open_] = before[before[open_]]
+        open_ = open_[before[open_] >= 0]
 
 
-def longest_previous_factors(suffixes: Suffixes, at: np.ndarray, order: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For each suffix ``at`` the bytes it has in common with any one at an earlier place, ``length`` at most.
+def longest_previous_factors(suffixes: Suffixes, at: np.ndarray, order: np.ndarray, places: np.ndarray, asked: np.ndarray | bool = True) -> np.ndarray:
+    """For each suffix ``at`` the bytes it has in common with any one at an earlier place, ``length`` at most; 0 if not asked.
 
     Of all earlier ones the nearest in suffix order, on either side, have most in common with it.
     """
+    asked = np.broadcast_to(asked, len(at))[order]
     own, ranked = at[order], places[order]
     found = np.zeros(len(at), np.int64)
     sides = (nearest_smaller(ranked), len(at) - 1 - nearest_smaller(ranked[::-1])[::-1])
     for near in sides:
-        has = np.flatnonzero((near >= 0) & (near < len(at)))
+        has = np.flatnonzero(asked & (near >= 0) & (near < len(at)))
         found[has] = np.maximum(found[has], suffixes.shared(own[has], own[near[has]]))
     out = np.empty(len(at), np.int64)
     out[order] = found
     return out
 
 
-def longest_elsewhere(suffixes: Suffixes, at: np.ndarray, order: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each suffix ``at`` the bytes it has in common with any one of another owner."""
+def longest_elsewhere(suffixes: Suffixes, at: np.ndarray, order: np.ndarray, owner: np.ndarray, asked: np.ndarray | bool = True) -> np.ndarray:
+    """For each suffix ``at`` the bytes it has in common with any one of another owner; 0 if not asked."""
+    asked = np.broadcast_to(asked, len(at))[order]
     own, label = at[order], owner[order]
     new = np.concatenate([[True], label[1:] != label[:-1]])
     first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
     last = np.minimum.accumulate(np.where(np.append(new[1:], True), np.arange(len(at)), len(at))[::-1])[::-1]
     found = np.zeros(len(at), np.int64)
     for near in (first - 1, last + 1):
-        has = np.flatnonzero((near >= 0) & (near < len(at)))
+        has = np.flatnonzero(asked & (near >= 0) & (near < len(at)))
         found[has] = np.maximum(found[has], suffixes.shared(own[has], own[near[has]]))
     out = np.empty(len(at), np.int64)
     out[order] = found
     return out
 
 
-def ranges_of(flags: np.ndarray) -> list[dict]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [{"a": int(a), "b": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-
-
 RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 RANGES_SQL = "array<struct<a:bigint,b:bigint>>"
 
 
+def ranges_of(flags: np.ndarray, first: np.ndarray) -> pa.Array:
+    """For each i the ranges [a, b) of flags[first[i]:first[i+1]] that are set, counted from first[i]."""
+    before = np.concatenate([[False], flags[:-1]])
+    before[first[:-1]] = False
+    after = np.concatenate([flags[1:], [False]])
+    after[first[1:] - 1] = False
+    starts, ends = np.flatnonzero(flags & ~before), np.flatnonzero(flags & ~after) + 1
+    base = first[np.searchsorted(first, starts, "right") - 1]
+    each = pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], ["a", "b"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, first).astype(np.int32)), each).cast(RANGES)
+
+
 def decide(rows: list[tuple], length: int, least: int, keep_first: bool) -> pa.RecordBatch:
     """From the first place of each distinct stretch: passages to remove, and windows that other documents hold.
 
@@ -233,7 +243,8 @@ def decide(rows: list[tuple], length: int, least: int, keep_first: bool) -> pa.R
     first = np.concatenate([[0], np.cumsum(windows)])
     within = np.arange(first[-1]) - first[owner]
     whole = sizes[owner] - within >= length
-    remove, elsewhere = np.zeros(len(owner), bool), several[owner]
+    remove = (times > 1)[owner] & whole & (not keep_first)
+    elsewhere = several[owner]
     # only windows whose hash recurs can match; suffix order settles how far
     starts = offsets[owner] + within
     hashes = between(prefix(BYTE_CODES[np.concatenate(texts)]), starts, starts + least)
@@ -253,15 +264,13 @@ def decide(rows: list[tuple], length: int, least: int, keep_first: bool) -> pa.R
         at = suffixes.starts[k] + within[index] - lowest[k]
         places = place[owner[index]] * (1 << 32) + within[index]
         ranked = suffixes.order(at, places)
-        factor = longest_previous_factors(suffixes, at, ranked, places)
+        asked = (whole & ~remove)[index]
+        factor = longest_previous_factors(suffixes, at, ranked, places, asked)
         if not keep_first:
-            factor = np.maximum(factor, longest_previous_factors(suffixes, at, ranked, -places))
-        remove[index] = factor >= length
-        elsewhere[index] |= longest_elsewhere(suffixes, at, ranked, label[owner[index]]) >= least
-    if not keep_first:
-        remove |= (times > 1)[owner] & whole
-    cut = lambda flags: pa.array([ranges_of(flags[first[i] : first[i + 1]]) for i in range(len(rows))], RANGES)
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), cut(remove), cut(elsewhere)], ["g", "s", "ranges", "elsewhere"])
+            factor = np.maximum(factor, longest_previous_factors(suffixes, at, ranked, -places, asked & (factor < length)))
+        remove[index] |= factor >= length
+        elsewhere[index] |= longest_elsewhere(suffixes, at, ranked, label[owner[index]], ~elsewhere[index]) >= least
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), ranges_of(remove, first), ranges_of(elsewhere, first)], ["g", "s", "ranges", "elsewhere"])
 
 
 def decisions(hard: DataFrame, docs: DataFrame, length: int, least: int, keep_first: bool, large: int = LARGE) -> DataFrame:
