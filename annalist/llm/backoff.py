@@ -37,7 +37,9 @@ BITS = 56
 #: N-grams of all slices in a bucket on average; a task holds one bucket's at a time.
 BUCKET = 1_000_000
 #: N-grams that a slice tells for each byte of text, roughly.
-TOLD = 0.33
+TOLD = 0.29
+#: Bytes of text in a slice: the longer, the more repeats are told once.
+SLICE = 4_000_000
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -126,7 +128,7 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, order: int = ORDER) -> Data
     bits = max(1, math.ceil(math.log2(max(told / BUCKET, 2))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, size=SLICE):
             hashes, _, which = placed(Words(*utf8_of(part["text"]), NOT_SPACE), order)
             if not len(hashes):
                 continue
@@ -168,7 +170,7 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, order: int = ORDER) -> Data
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The slices' own rows, before those of their buckets."""
-        for part in text_slices(batches):
+        for part in text_slices(batches, size=SLICE):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(part)

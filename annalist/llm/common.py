@@ -65,8 +65,9 @@ def bounded_ids(ids: DataFrame, column: str, bound: int, salt: int = 0) -> DataF
     return ids.where(F.col(column).isNotNull()).select(column).distinct().orderBy(order, column).limit(bound)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each part holds about ``SLICE_BYTES`` of text; one text is never cut."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each part holds about ``size`` bytes of text, or ``SLICE_BYTES``; one text is never cut."""
+    size = size or SLICE_BYTES
     for batch in batches:
         texts = batch.column(column)
         if batch.num_rows == 0:
@@ -75,8 +76,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         at, start = 0, int(offsets_of(texts)[0])
         while at < batch.num_rows:
             to = at + 1
-            while to < batch.num_rows and ends[to] - start <= SLICE_BYTES:
-                to += max(1, min(batch.num_rows - to, 64)) if ends[min(batch.num_rows - 1, to + 63)] - start <= SLICE_BYTES else 1
+            while to < batch.num_rows and ends[to] - start <= size:
+                to += max(1, min(batch.num_rows - to, 64)) if ends[min(batch.num_rows - 1, to + 63)] - start <= size else 1
             yield batch.slice(at, to - at)
             start, at = int(ends[to - 1]), to
 
