@@ -6,10 +6,10 @@
    capacity) is all that packing decisions need.  Over it a covering program is
    solved: how often to use each configuration, a multiset of lengths that fits
    a sequence.  Multiplicative weights price the lengths, a knapsack dynamic
-   program finds the dearest configuration, its use is raised by a part of what
-   is left to cover, and the prices of what it covers fall.
-3. Uses are rounded down, and what that leaves uncovered is placed best-fit
-   decreasing, over counts of lengths again.
+   program finds the dearest configurations, their use is raised by a part of
+   what is left to cover, and the prices of what they cover fall.
+3. Uses are rounded, down and by largest remainders, and what that leaves
+   uncovered is placed best-fit decreasing, over counts of lengths again.
 4. Pieces of a length take the slots of that length in the order of their rank,
    which is counted in salted groups, so that a common length is no hot key.
 
@@ -168,71 +168,86 @@ class Plan:
         return sequence, offset
 
 
-def price_best(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the greatest total price that fits: a knapsack by dynamic programming."""
-    best = np.zeros(capacity + 1)
-    choice = np.zeros(capacity + 1, int)
+def dearest(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(best, choice) by room: the greatest total price that fits, and the index of a length in it, -1 for none.
+
+    A knapsack by dynamic programming; of lengths that are worth as much, the longest.
+    """
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     limits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    back, worth = sizes[::-1].copy(), prices[::-1].copy()
     for c in range(int(sizes[0]), capacity + 1):
-        n = limits[c]
-        values = best[c - sizes[:n]] + prices[:n]
+        skip = len(sizes) - limits[c]
+        values = best[c - back[skip:]] + worth[skip:]
         i = int(values.argmax())
         if values[i] > best[c - 1]:
-            best[c], choice[c] = values[i], sizes[i]
-        else:
-            best[c] = best[c - 1]
-    found: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if choice[c]:
-            found[int(choice[c])] = found.get(int(choice[c]), 0) + 1
-            c -= int(choice[c])
+            best[c], choice[c] = values[i], limits[c] - 1 - i
         else:
-            c -= 1
-    return found
+            best[c], choice[c] = best[c - 1], -1
+    return best, choice
 
 
-def relaxation(sizes: np.ndarray, wanted: np.ndarray, capacity: int, rounds: int, step: float = 0.1, rate: float = 8.0) -> dict[tuple[tuple[int, int], ...], float]:
-    """Fractional uses of configurations that cover no length more than wanted.
+def relaxation(sizes: np.ndarray, wanted: np.ndarray, capacity: int, rounds: int, step: float = 0.5, rate: float = 8.0, slack: float = 0.004, bend: float = 2.0) -> dict[tuple[tuple[int, int], ...], float]:
+    """Fractional uses of configurations that cover no length more than wanted, and nearly all of it after enough rounds.
 
-    Prices start at the lengths' shares of the capacity, which is the dual
-    solution if sequences can be filled to the brim, and fall by a factor
-    exp(-rate * share covered) as a length is covered.
+    Prices start at the lengths' shares of the capacity to the power of ``bend``
+    (so that long pieces come before short ones, which fit anywhere) and fall by
+    a factor exp(-rate * share covered) as a length is covered.  One pricing gives the
+    dearest configuration around each length; those that cost next to as much
+    as the dearest of all are used by a part of what is left to cover.
     """
     covered = np.zeros(len(sizes))
     uses: dict[tuple[tuple[int, int], ...], float] = {}
     for _ in range(rounds):
-        live = np.flatnonzero(covered < 0.999)
+        live = np.flatnonzero(covered < 0.99)
         if not len(live):
             break
-        prices = sizes[live] / capacity * np.exp(-rate * covered[live])
-        best = price_best(prices, sizes[live], capacity)
-        at, counts = np.searchsorted(sizes, list(best)), np.array(list(best.values()))
-        amount = step * float(((1 - covered[at]) * wanted[at] / counts).min())
-        key = tuple(sorted(best.items()))
-        uses[key] = uses.get(key, 0.0) + amount
-        covered[at] += amount * counts / wanted[at]
+        own = sizes[live]
+        prices = (own / capacity) ** bend * np.exp(-rate * covered[live])
+        best, choice = dearest(prices, own, capacity)
+        around = prices + best[capacity - own]
+        for i in np.flatnonzero(around >= (1 - slack) * around.max())[::-1].tolist():
+            config, room = {i: 1}, capacity - int(own[i])
+            while room > 0:
+                if (j := int(choice[room])) < 0:
+                    room -= 1
+                else:
+                    config[j] = config.get(j, 0) + 1
+                    room -= int(own[j])
+            at, counts = live[list(config)], np.array(list(config.values()))
+            amount = step * float(((1 - covered[at]) * wanted[at] / counts).min())
+            if amount > 0:
+                key = tuple(sorted(zip(sizes[at].tolist(), counts.tolist(), strict=True)))
+                uses[key] = uses.get(key, 0.0) + amount
+                covered[at] += amount * counts / wanted[at]
     return uses
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 250) -> list[tuple[dict[int, int], int]]:
+def rounded(uses: dict[tuple[tuple[int, int], ...], float], left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole uses: each rounded down, then by the largest remainders one more of those
+    that leave no room, as long as what is ``left`` allows it."""
+    plan: dict[tuple[tuple[int, int], ...], int] = {}
+    by_use = [(config, int(x + 1e-9)) for config, x in sorted(uses.items(), key=lambda u: (-u[1], u[0]))]
+    full = [(config, x) for config, x in uses.items() if sum(s * k for s, k in config) == capacity]
+    by_rest = [(config, 1) for config, x in sorted(full, key=lambda u: (int(u[1] + 1e-9) - u[1], u[0]))]
+    for config, most in (*by_use, *by_rest):
+        n = min(most, min(left[s] // k for s, k in config))
+        if n > 0:
+            plan[config] = plan.get(config, 0) + n
+            for s, k in config:
+                left[s] -= n * k
+    return [(dict(config), n) for config, n in plan.items()]
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 300) -> list[tuple[dict[int, int], int]]:
     """(configuration, uses in whole numbers) that together cover the histogram exactly."""
-    demand = {s: n for s, n in histogram.items() if n > 0}
-    sizes = np.array(sorted(demand))
-    if not len(sizes):
-        return []
-    left = np.array([demand[s] for s in sizes])
+    left = {s: n for s, n in sorted(histogram.items()) if n > 0}
     # lengths that fill a sequence alone need no pricing
-    plan = [({capacity: 1}, demand[capacity])] if capacity in demand else []
-    left[sizes == capacity] = 0
-    open_ = sizes[left > 0]
-    if len(open_):
-        for config, x in sorted(relaxation(open_, left[left > 0].astype(float), capacity, rounds).items()):
-            if n := int(x + 1e-9):
-                plan.append((dict(config), n))
-                for s, k in config:
-                    left[np.searchsorted(sizes, s)] -= n * k
-    return plan + best_fit({int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}, capacity)
+    plan = [({capacity: 1}, left.pop(capacity))] if capacity in left else []
+    if left:
+        sizes, wanted = (np.array(c) for c in zip(*left.items(), strict=True))
+        plan += rounded(relaxation(sizes, wanted.astype(float), capacity, rounds), left, capacity)
+    return plan + best_fit({s: n for s, n in left.items() if n}, capacity)
 
 
 def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:

@@ -102,7 +102,7 @@ def plain_lm_score(words, count, total, alpha=0.4):
 def test_lm_scores(spark, docs, empty, small, monkeypatch):
     if small:
         monkeypatch.setattr(backoff, "BUCKET", 100)
-        monkeypatch.setattr("annalist.llm.common.SLICE_BYTES", 300)
+        monkeypatch.setattr(backoff, "SLICE", 300)
     table = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(70, "neverseen"), (71, "the neverseen2 of")]
     words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in table]
     each = [collections.Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)) for w in words]
@@ -246,6 +246,25 @@ def test_packing_plan_covers_the_histogram(seed):
     assert sum(n for _, n in plan) <= 1.01 * sum(n for _, n in packing.best_fit(histogram, 256)) + 2
 
 
+def test_configuration_program_places_most_pieces(spark):
+    tokenized = packing.pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    histogram = {r["length"]: r["count"] for r in tokenized.groupBy("length").count().collect()}
+    left = {s: n for s, n in histogram.items() if s < 2048}
+    pieces = sum(left.values())
+    sizes = np.array(sorted(left))
+    uses = packing.relaxation(sizes, np.array([left[s] for s in sizes], float), 2048, 300)
+    assert all(sum(s * k for s, k in c) <= 2048 for c in uses)
+    cover = collections.Counter()
+    for c, x in uses.items():
+        for s, k in c:
+            cover[s] += x * k
+    assert all(cover[s] <= left[s] + 1e-6 for s in cover) and sum(cover.values()) > 0.6 * pieces
+    packing.rounded(uses, left, 2048)
+    assert min(left.values()) >= 0 and sum(left.values()) < 0.5 * pieces
+    fewest = -(-sum(s * n for s, n in histogram.items()) // 2048)
+    assert sum(n for _, n in packing.solve(histogram)) <= fewest + 1
+
+
 @pytest.mark.parametrize("text", ["a  b", " a", "a ", "a\n\nb", "a\tb c", "it's I'll 's", "x y z", "a\x1cb c", "", "<|endoftext|> a", "a\r\nb", "\n"])
 def test_tokenizer_is_that_of_the_file(text):
     import public_tokenizers
