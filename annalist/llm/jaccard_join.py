@@ -3,24 +3,28 @@
 A text is the set of its distinct shingles of five words.  Sizes fall into
 bands; a pair that is similar enough lies in one band, or the larger set just
 above the smaller one's.  In the instance of a band the domain of shingles is
-dealt into more partitions than two such sets can differ in, so at least one
-partition holds the same shingles in both, and is not empty: its content is a
-signature that both emit.  Whether the partitions are even enough for that is
-checked for every set; where one fails, its instance is run again with more
-partitions, at last with one for each shingle.
-
-There is more: a set with m signatures of an instance that may differ from a
-partner in k partitions shares at least m - k signatures with it.  So it may
-leave out its m - k - 1 commonest ones, in one order for all sets, and still
-shares one with every partner.  Signatures of many sets, such as those of a
-passage that stands everywhere, are left out so, and need no comparisons.
+dealt into groups of ``SECOND`` partitions.  Two such sets can differ in so few
+partitions that in one group at least they differ in ``DIFFER`` or fewer; so
+they hold the same shingles in all others of that group.  Every subset of
+``SECOND - DIFFER`` partitions of a group that is not empty is a signature: its
+content.  Whether the partitions are even enough for that (each group counts
+for as many differences as it takes to spoil its subsets) is checked for every
+set; where one fails, its instance is run again with more partitions, at last
+with one for each shingle, each a signature by itself.
+
+There is more: from the differences that are possible follows how many
+signatures a set shares with any partner at least.  It may leave out all of
+these but one, its commonest ones, in one order for all sets, and still shares
+one with every partner.  Signatures of many sets, such as those of a passage
+that stands everywhere, are left out so, and need no comparisons.
 
 Equal sets are one node from the start.  Sets that share a signature are
 compared to one of them (a star), which links nearly all that are linked.  Then
 components are taken, and only sets in different ones that share a signature
 are compared with each other, in blocks, by a bound first: sketches of the
 parity of shingles on each of many bits differ by no more than the sets do.  Every link that is reported or
-used is checked on the sets themselves.
+used is checked on the sets themselves.  Two sets that share a row of signatures
+are told once for it: a signature carries a mark of the one before it.
 
 Nulls and oddities: a null or wordless text has no shingles and is linked with
 nothing; a text of one to four words is one shingle; repeated rows are copies;
@@ -44,8 +48,10 @@ from annalist.llm.textkit import NOT_SPACE, U, Words, mix
 SHINGLE, PERCENT = 5, 75
 #: Growth of the bands of set sizes.
 BAND = 1.6
-#: Partitions of the domain for each difference that is allowed, from the first try on.
-TRIES = (1.2, 1.35, 1.6, 2.0, 3.0, 6.0, 20.0, math.inf)
+#: Partitions of a group, and how many of them may differ.
+SECOND, DIFFER = 3, 1
+#: Groups for each DIFFER + 1 differences that are possible, from the first try on.
+TRIES = (1.1, 1.2, 1.35, 1.6, 2.0, 3.0, 6.0, 20.0, math.inf)
 #: Low bits of a signature that hold its band.
 BAND_BITS = 63
 #: Signatures in a bucket on average; a task holds one bucket's at a time.
@@ -130,29 +136,48 @@ def bands(largest: int) -> np.ndarray:
     return np.array(out)
 
 
+def groups_for(apart: int | np.ndarray, tries: float | np.ndarray):
+    """Groups of partitions of an instance; 0 where each shingle is a partition by itself."""
+    return np.where(np.isfinite(tries), np.ceil(np.where(np.isfinite(tries), tries, 0) * (apart + 1) / (DIFFER + 1)), 0).astype(np.int64)
+
+
 def first_try(upper: int) -> int:
     """The try whose partitions are expected to be even enough, by eight standard deviations."""
     apart = int(most_apart(upper, 100 * upper // PERCENT))
     for i, f in enumerate(TRIES[:-1]):
-        n = math.ceil(f * (apart + 1))
-        load = upper / n
-        empty = math.exp(-load)
-        spread = math.sqrt(max(n * empty * (1 - (1 + load) * empty), 0.25))
-        if n * (1 - empty) - 8 * spread > apart:
+        n = int(groups_for(apart, f))
+        full = 1 - math.exp(-upper / (n * SECOND))
+        chance = [math.comb(SECOND, e) * full**e * (1 - full) ** (SECOND - e) for e in range(SECOND + 1)]
+        counts = sum(p * min(e, DIFFER + 1) for e, p in enumerate(chance))
+        square = sum(p * min(e, DIFFER + 1) ** 2 for e, p in enumerate(chance))
+        if n * counts - 8 * math.sqrt(max(n * (square - counts**2), 0.25)) > apart:
             return i
     return len(TRIES) - 1
 
 
-def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set, signature, shared, failed) over the instances in ``tries``.
+def least_shared(ones: np.ndarray, more: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Signatures left at least of groups with one, and of those with more than one partition in use, after ``apart`` differences.
+
+    A first difference in a group spoils two of its subsets, a second one the last of three.
+    """
+    groups = ones + more
+    return 2 * ones + 3 * more - np.where(apart <= groups, 2 * apart, 2 * groups + np.minimum(apart - groups, more))
+
+
+SUBSETS = ((0, 1), (0, 2), (1, 2))
+
+
+def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries: dict[int, int]) -> tuple[np.ndarray, ...]:
+    """(set, signature, shared, before, failed) over the instances in ``tries``.
 
     A signature's low bits are its band; ``shared`` is how many signatures its
-    set shares with any partner at least; ``failed`` has the band of each set
-    that needs another try.
+    set shares with any partner at least; ``before`` marks the set's signature
+    before it, 0 for none; ``failed`` has the band of each set that needs
+    another try.
     """
     sizes = np.diff(first)
     band = np.searchsorted(uppers, sizes)
-    owners, signs, shared, failed = [], [], [], []
+    owners, signs, shared, before, failed = [], [], [], [], []
     owner_of = np.repeat(np.arange(len(sizes)), sizes)
     for shift in (0, 1):
         # its own band's instance, and that of the band below if a linked set may lie there
@@ -165,33 +190,54 @@ def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries:
         if not takes.any():
             continue
         upper = uppers[np.where(takes, instance, 0)]
-        apart = most_apart(upper, 100 * upper // PERCENT)
-        parts = np.array([f if math.isfinite(f) else 0 for f in TRIES])[np.maximum(choice, 0)]
-        n_parts = np.ceil(parts * (apart + 1)).astype(np.int64)
+        groups = groups_for(most_apart(upper, 100 * upper // PERCENT), np.array(TRIES)[np.maximum(choice, 0)])
+        partner = np.where(shift == 1, upper, np.minimum(100 * sizes // PERCENT, 100 * upper // PERCENT))
+        apart = most_apart(sizes, partner)
         pick = takes[owner_of]
         owner, values = owner_of[pick], hashes[pick]
-        salt = (instance[owner] * len(TRIES) + choice[owner] + 1).astype(U)
-        spread = mix(values + salt * U(0x9E3779B97F4A7C15))
-        divisor = n_parts[owner]
-        part = np.where(divisor > 0, ((spread >> U(32)) * np.maximum(divisor, 1).astype(U)) >> U(32), spread)
+        salt = (instance * len(TRIES) + choice + 1).astype(U)
+        spread = mix(values + salt[owner] * U(0x9E3779B97F4A7C15))
+        parts = groups[owner] * SECOND
+        part = np.where(parts > 0, ((spread >> U(32)) * np.maximum(parts, 1).astype(U)) >> U(32), spread)
         order = np.lexsort((part, owner))
         owner, part, content = owner[order], part[order], mix(spread)[order]
         new = np.ones(len(owner), bool)
         new[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(new)
-        if len(at):
-            sums = np.add.reduceat(content, at)
-            mine = owner[at]
-            owners.append(mine)
-            signs.append((mix(sums ^ mix(part[at] + salt[order][at])) & ~U(BAND_BITS)) | instance[mine].astype(U))
-            used = np.bincount(mine, minlength=len(sizes))
-            partner = np.where(shift == 1, upper, np.minimum(100 * sizes // PERCENT, 100 * upper // PERCENT))
-            short = takes & (used <= most_apart(sizes, partner)) & (n_parts > 0)
-            failed.append(instance[short])
-            shared.append(np.clip(used - most_apart(sizes, partner), 0, 65535)[mine])
+        if not len(at):
+            continue
+        owner, part, sums = owner[at], part[at], np.add.reduceat(content, at)
+        single = groups[owner] == 0
+        # one row for each group that has a partition in use; rows of single partitions have but one subset
+        group = np.where(single, part, part // U(SECOND))
+        new = np.ones(len(owner), bool)
+        new[1:] = (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])
+        row, at = np.cumsum(new) - 1, np.flatnonzero(new)
+        place = np.where(single, 0, part % U(SECOND)).astype(np.int64)
+        held, used = np.zeros((len(at), SECOND), U), np.zeros((len(at), SECOND), bool)
+        held[row, place], used[row, place] = sums, True
+        owner, group, single = owner[at], group[at], single[at]
+        grid, real = np.zeros((len(at), len(SUBSETS)), U), np.zeros((len(at), len(SUBSETS)), bool)
+        for k, (i, j) in enumerate(SUBSETS):
+            real[:, k] = np.where(single, k == 0, used[:, i] | used[:, j])
+            grid[:, k] = mix((held[:, i] + held[:, j]) ^ mix(group * U(len(SUBSETS)) + U(k) + salt[owner]))
+        mine = np.repeat(owner, len(SUBSETS))[real.ravel()]
+        own = (grid.ravel()[real.ravel()] & ~U(BAND_BITS)) | instance[mine].astype(U)
+        mark = np.zeros(len(own), np.uint32)
+        mark[1:] = np.where(mine[1:] == mine[:-1], (own[:-1] >> U(32)).astype(np.uint32) | 1, 0)
+        owners.append(mine)
+        signs.append(own)
+        before.append(mark)
+        n_used = used.sum(axis=1)
+        tally = lambda rows: np.bincount(owner[rows], minlength=len(sizes))  # noqa: B023, E731
+        ones, more, alone = tally(~single & (n_used == 1)), tally(~single & (n_used > 1)), tally(single)
+        short = takes & (groups > 0) & (ones + (DIFFER + 1) * more <= apart)
+        failed.append(instance[short])
+        left = np.where(groups > 0, least_shared(ones, more, apart), alone - apart)
+        shared.append(np.clip(left, 0, 65535)[mine])
     if not owners:
-        return np.zeros(0, int), np.zeros(0, U), np.zeros(0, int), np.zeros(0, int)
-    return tuple(map(np.concatenate, (owners, signs, shared, failed)))
+        return np.zeros(0, int), np.zeros(0, U), np.zeros(0, int), np.zeros(0, np.uint32), np.zeros(0, int)
+    return tuple(map(np.concatenate, (owners, signs, shared, before, failed)))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -224,18 +270,18 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
         for part in text_slices(batches):
             first, hashes = shingle_sets(part["text"])
             nodes, once = np.unique(set_keys(first, hashes), return_index=True)
-            owner, signs, shared, failed = signatures(first, hashes, uppers, tries)
+            owner, signs, shared, before, failed = signatures(first, hashes, uppers, tries)
             keep = np.zeros(len(first) - 1, bool)
             keep[once] = True
             chosen = keep[owner]
             keys = set_keys(first, hashes)[owner[chosen]]
-            signs, shared = signs[chosen], shared[chosen].astype(np.uint16)
+            signs, shared, before = signs[chosen], shared[chosen].astype(np.uint16), before[chosen]
             bucket = (signs >> bits).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, signs, keys, shared = bucket[order], signs[order], keys[order], shared[order]
+            bucket, *columns = (c[order] for c in (bucket, signs, keys, before, shared))
             cut = np.flatnonzero(np.diff(bucket)) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])
-            rows = [(int(bucket[a]), signs[a:b].tobytes() + keys[a:b].tobytes() + shared[a:b].tobytes()) for a, b in zip(starts, ends, strict=True) if b > a]
+            rows = [(int(bucket[a]), b"".join(c[a:b].tobytes() for c in columns)) for a, b in zip(starts, ends, strict=True) if b > a]
             rows += [(-1 - int(b), b"") for b in np.unique(failed)]
             if rows:
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
@@ -244,19 +290,22 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "a", "b", "members", "shared"])
 
-    def groups(signs: np.ndarray, keys: np.ndarray, shared: np.ndarray) -> pa.RecordBatch | None:
+    def groups(signs: np.ndarray, keys: np.ndarray, before: np.ndarray, shared: np.ndarray) -> pa.RecordBatch | None:
         order = np.lexsort((keys, signs))
-        signs, keys, shared = signs[order], keys[order], shared[order]
+        signs, keys, before, shared = signs[order], keys[order], before[order], shared[order]
         new = np.ones(len(signs), bool)
         new[1:] = (signs[1:] != signs[:-1]) | (keys[1:] != keys[:-1])
-        signs, keys, shared = signs[new], keys[new], shared[new]
+        signs, keys, before, shared = signs[new], keys[new], before[new], shared[new]
         start = np.ones(len(signs), bool)
         start[1:] = signs[1:] != signs[:-1]
         at = np.flatnonzero(start)
         sizes = np.diff(np.append(at, len(signs)))
         several = np.repeat(sizes > 1, sizes)
         pivot = np.repeat(keys[at], sizes)
-        pairs = np.unique(np.stack([pivot, keys], axis=1)[several & ~start], axis=0)
+        # where the signature before is shared too, the two have been told by it, or are in its group
+        mark = np.repeat(before[at], sizes)
+        told = (before == mark) & (mark > 0)
+        pairs = np.unique(np.stack([pivot, keys], axis=1)[several & ~start & ~told], axis=0)
         members: dict[int, np.ndarray] = {}
         rows = [(0, x, y, None, None) for x, y in pairs.tolist()]
         for a, n in zip(at[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
@@ -273,12 +322,11 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                n = [len(x) // 18 for x in held]
-                signs = np.concatenate([np.frombuffer(x, U, k) for x, k in zip(held, n, strict=True)])
-                keys = np.concatenate([np.frombuffer(x, np.int64, k, 8 * k) for x, k in zip(held, n, strict=True)])
-                shared = np.concatenate([np.frombuffer(x, np.uint16, k, 16 * k) for x, k in zip(held, n, strict=True)])
+                n = [len(x) // 22 for x in held]
+                column = lambda kind, at: np.concatenate([np.frombuffer(x, kind, k, at * k) for x, k in zip(held, n, strict=True)])  # noqa: B023, E731
+                columns = column(U, 0), column(np.int64, 8), column(np.uint32, 16), column(np.uint16, 20)
                 held.clear()
-                out = groups(signs, keys, shared)
+                out = groups(*columns)
                 if out is not None:
                     yield out
 
@@ -474,7 +522,7 @@ def components(docs: DataFrame) -> DataFrame:
     tries = {b: first_try(int(u)) for b, u in enumerate(uppers)}
     found, rounds = None, 0
     while tries:
-        shared = materialise(shared_signatures(docs, uppers, tries, int(0.7 * row["total"])))
+        shared = materialise(shared_signatures(docs, uppers, tries, row["total"]))
         again = [r["a"] for r in shared.where("kind = 2").select("a").distinct().collect()]
         tries = {b: tries[b] + 1 for b in again}
         shared = shared.withColumn("round", F.lit(rounds))
