@@ -39,7 +39,7 @@ BUCKET = 1_000_000
 #: N-grams that a slice tells for each byte of text, roughly.
 TOLD = 0.29
 #: Bytes of text in a slice: the longer, the more repeats are told once.
-SLICE = 4_000_000
+SLICE = 3_000_000
 
 
 def packed(values: np.ndarray) -> bytes:
