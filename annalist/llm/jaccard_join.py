@@ -33,6 +33,7 @@ a null doc_id takes part but never names a component unless nothing else can.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -48,8 +49,8 @@ from annalist.llm.textkit import NOT_SPACE, U, Words, mix
 SHINGLE, PERCENT = 5, 75
 #: Growth of the bands of set sizes.
 BAND = 1.6
-#: Partitions of a group, and how many of them may differ.
-SECOND, DIFFER = 3, 1
+#: Partitions of a group, and how many of them may differ.  (3, 1) gives longer signatures, but 1.5 times as many.
+SECOND, DIFFER = 2, 1
 #: Groups for each DIFFER + 1 differences that are possible, from the first try on.
 TRIES = (1.1, 1.2, 1.35, 1.6, 2.0, 3.0, 6.0, 20.0, math.inf)
 #: Low bits of a signature that hold its band.
@@ -155,16 +156,26 @@ def first_try(upper: int) -> int:
     return len(TRIES) - 1
 
 
-def least_shared(ones: np.ndarray, more: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Signatures left at least of groups with one, and of those with more than one partition in use, after ``apart`` differences.
+def subsets() -> list[tuple[int, ...]]:
+    return list(itertools.combinations(range(SECOND), SECOND - DIFFER))
 
-    A first difference in a group spoils two of its subsets, a second one the last of three.
-    """
-    groups = ones + more
-    return 2 * ones + 3 * more - np.where(apart <= groups, 2 * apart, 2 * groups + np.minimum(apart - groups, more))
+
+def spoilt() -> list[list[int]]:
+    """[e]: how many signatures a first, second ... difference can spoil in a group with e partitions in use, most first."""
+    clean = lambda e, d: math.comb(SECOND - d, SECOND - DIFFER) - math.comb(SECOND - d - max(e - d, 0), SECOND - DIFFER)
+    left = [[clean(e, d) for d in range(SECOND + 1)] for e in range(SECOND + 1)]
+    return [sorted((a - b for a, b in itertools.pairwise(row)), reverse=True) for row in left]
 
 
-SUBSETS = ((0, 1), (0, 2), (1, 2))
+def least_shared(tally: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Signatures left at least after ``apart`` differences, of sets with tally[:, e] groups with e partitions in use."""
+    losses = spoilt()
+    total = sum(tally[:, e] * sum(losses[e]) for e in range(SECOND + 1))
+    left = apart.copy()
+    for worth, e in sorted(((x, e) for e in range(SECOND + 1) for x in losses[e] if x), reverse=True):
+        spent = np.minimum(left, tally[:, e])
+        total, left = total - worth * spent, left - spent
+    return total
 
 
 def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries: dict[int, int]) -> tuple[np.ndarray, ...]:
@@ -217,11 +228,12 @@ def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries:
         held, used = np.zeros((len(at), SECOND), U), np.zeros((len(at), SECOND), bool)
         held[row, place], used[row, place] = sums, True
         owner, group, single = owner[at], group[at], single[at]
-        grid, real = np.zeros((len(at), len(SUBSETS)), U), np.zeros((len(at), len(SUBSETS)), bool)
-        for k, (i, j) in enumerate(SUBSETS):
-            real[:, k] = np.where(single, k == 0, used[:, i] | used[:, j])
-            grid[:, k] = mix((held[:, i] + held[:, j]) ^ mix(group * U(len(SUBSETS)) + U(k) + salt[owner]))
-        mine = np.repeat(owner, len(SUBSETS))[real.ravel()]
+        chosen = subsets()
+        grid, real = np.zeros((len(at), len(chosen)), U), np.zeros((len(at), len(chosen)), bool)
+        for k, own in enumerate(chosen):
+            real[:, k] = np.where(single, k == 0, used[:, own].any(axis=1))
+            grid[:, k] = mix(np.where(single, held[:, 0], held[:, own].sum(axis=1)) ^ mix(group * U(len(chosen)) + U(k) + salt[owner]))
+        mine = np.repeat(owner, len(chosen))[real.ravel()]
         own = (grid.ravel()[real.ravel()] & ~U(BAND_BITS)) | instance[mine].astype(U)
         mark = np.zeros(len(own), np.uint32)
         mark[1:] = np.where(mine[1:] == mine[:-1], (own[:-1] >> U(32)).astype(np.uint32) | 1, 0)
@@ -229,11 +241,10 @@ def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries:
         signs.append(own)
         before.append(mark)
         n_used = used.sum(axis=1)
-        tally = lambda rows: np.bincount(owner[rows], minlength=len(sizes))  # noqa: B023, E731
-        ones, more, alone = tally(~single & (n_used == 1)), tally(~single & (n_used > 1)), tally(single)
-        short = takes & (groups > 0) & (ones + (DIFFER + 1) * more <= apart)
+        tally = np.bincount(owner * (SECOND + 1) + n_used, minlength=len(sizes) * (SECOND + 1)).reshape(-1, SECOND + 1)
+        short = takes & (groups > 0) & ((tally * np.minimum(np.arange(SECOND + 1), DIFFER + 1)).sum(axis=1) <= apart)
         failed.append(instance[short])
-        left = np.where(groups > 0, least_shared(ones, more, apart), alone - apart)
+        left = np.where(groups > 0, least_shared(tally, apart), tally[:, 1] - apart)
         shared.append(np.clip(left, 0, 65535)[mine])
     if not owners:
         return np.zeros(0, int), np.zeros(0, U), np.zeros(0, int), np.zeros(0, np.uint32), np.zeros(0, int)

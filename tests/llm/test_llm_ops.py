@@ -328,6 +328,31 @@ def test_jaccard_join_of_near_copies_with_a_common_passage(spark, seed, monkeypa
     assert rows(got) == plain_components(table)
 
 
+@pytest.mark.parametrize(("second", "differ"), [(2, 1), (3, 1), (4, 2)])
+def test_similar_sets_share_as_many_signatures_as_said(second, differ, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SECOND", second)
+    monkeypatch.setattr(jaccard_join, "DIFFER", differ)
+    draw, uppers, pairs = np.random.default_rng(second), jaccard_join.bands(600), 0
+    tries = {b: jaccard_join.first_try(int(u)) for b, u in enumerate(uppers)}
+    for _ in range(400):
+        n = int(draw.integers(1, 400))
+        gone, fresh = int(draw.integers(0, n // 4 + 1)), int(draw.integers(0, n // 3 + 1))
+        if 100 * (n - gone) < 75 * (n + fresh):
+            continue
+        one = np.unique(draw.integers(1, 1 << 62, n).astype(np.uint64))
+        two = np.unique(np.concatenate([one[gone:], draw.integers(1, 1 << 62, fresh).astype(np.uint64)]))
+        first = np.array([0, len(one), len(one) + len(two)])
+        owner, signs, shared, _, failed = jaccard_join.signatures(first, np.concatenate([one, two]), uppers, tries)
+        if len(failed):
+            continue
+        pairs += 1
+        both = set(signs[owner == 0].tolist()) & set(signs[owner == 1].tolist())
+        said = {int(s) & 63: int(m) for s, m in zip(signs[owner == 0], shared[owner == 0], strict=True)}
+        common = collections.Counter(s & 63 for s in both)
+        assert any(n >= max(1, said[b]) for b, n in common.items())
+    assert pairs > 100
+
+
 def test_jaccard_join_of_chains_between_linked_sets(spark):
     """Chains of four texts that are linked to their neighbours only, over all orders of the nodes' keys."""
     table, orders = [], set()
