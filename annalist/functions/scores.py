@@ -17,7 +17,7 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 def recency(valid_at: Column, now: Column) -> Column:
     """exp(-age in days / 365); an unknown date counts one half."""
-    return F.coalesce(F.exp(-F.greatest(days_between(now, valid_at), F.lit(0.0)) / 365), F.lit(0.5))
+    return F.when(valid_at.isNull(), 0.5).otherwise(F.exp(-F.greatest(days_between(now, valid_at), F.lit(0.0)) / 365))
 
 
 def recency_factor(valid_at: Column, now: Column, half_life: float = 180, floor: float = 0.35) -> Column:

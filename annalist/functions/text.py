@@ -119,11 +119,10 @@ def hop_base(name: Column) -> Column:
 
 
 def contradicts(a: Column, b: Column) -> Column:
-    """Two statements share two terms or more and just one of them is negated."""
-    ta, tb = (F.split(F.lower(x), "[^a-z0-9]+") for x in (a, b))
+    """Two statements share two words or more, of any kind, and just one of them is negated."""
+    ta, tb = (F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), 0) for x in (a, b))
     negated = lambda t: F.arrays_overlap(t, F.array(*map(F.lit, NEGATIONS)))
-    words = lambda t: F.filter(t, lambda w: (F.length(w) > 2) & ~w.isin(*NEGATIONS))
-    return (F.size(F.array_intersect(words(ta), words(tb))) >= 2) & (negated(ta) != negated(tb))
+    return (F.size(F.array_intersect(ta, tb)) >= 2) & (negated(ta) != negated(tb))
 
 
 def sentences(text: Column, least_words: int = 3) -> Column:

@@ -22,9 +22,14 @@ def classification(scope: Column) -> Column:
 
 def scope_filter(df: DataFrame, scopes: DataFrame) -> DataFrame:
     """Rows in one of the scopes; global ones whatever the tenant; no scopes, no rows."""
-    wanted = scopes.select(F.col("org_id").alias("_org"), F.col("scope").alias("_scope"), F.col("scope_id").alias("_id")).distinct()
-    same = (df["scope"] == wanted["_scope"]) & ((df["scope"] == "global") | ((df["org_id"] == wanted["_org"]) & df["scope_id"].eqNullSafe(wanted["_id"])))
-    return df.join(wanted, same, "left_semi")
+    everyone = F.col("scope") == "global"
+    key = F.struct("scope", *[F.when(~everyone, F.col(c).cast("string")).alias(c) for c in ("org_id", "scope_id")])
+    known = (F.col("scope") == "global") | F.col("org_id").isNotNull()
+    # the hash spreads the rows; the columns it is made of decide
+    keyed = lambda d: d.where(known).withColumn("_key", key).withColumn("_hash", F.xxhash64("_key"))
+    wanted = keyed(scopes).select("_hash", F.col("_key").alias("_wanted")).distinct()
+    rows = keyed(df)
+    return rows.join(wanted, (rows["_hash"] == wanted["_hash"]) & rows["_key"].eqNullSafe(wanted["_wanted"]), "left_semi").select(df.columns)
 
 
 def accessible_scopes(callers: DataFrame) -> DataFrame:

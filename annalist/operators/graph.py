@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.plans.shared import keep
+
 
 def doubled(edges: DataFrame) -> DataFrame:
     """Undirected: each edge from both ends, loops left out."""
@@ -16,10 +18,10 @@ def hops(starts: DataFrame, edges: DataFrame, depth: int = 3, fan_out: int | Non
     """(query_id, node_id, hops): nodes within ``depth`` steps and their least distance.
 
     A step joins the frontier to the edges and drops what is known; ``fan_out``
-    keeps that many new nodes of a query in a step, the least ids first.  The
-    depth is small and fixed, so the plan is too.
+    keeps that many new nodes of a query in a step, the least ids first.  Edges
+    and each frontier are written once, so no step computes another again.
     """
-    both = doubled(edges)
+    both = keep(doubled(edges))
     frontier = starts.select("query_id", "node_id").distinct()
     known = frontier.withColumn("hops", F.lit(0))
     for step in range(1, depth + 1):
@@ -28,23 +30,29 @@ def hops(starts: DataFrame, edges: DataFrame, depth: int = 3, fan_out: int | Non
         if fan_out is not None:
             order = Window.partitionBy("query_id").orderBy("node_id")
             fresh = fresh.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= fan_out).drop("_n")
-        known = known.unionByName(fresh.withColumn("hops", F.lit(step)))
-        frontier = fresh
+        frontier = keep(fresh) if step < depth else fresh
+        known = known.unionByName(frontier.withColumn("hops", F.lit(step)))
     return known
 
 
-def unit_closure(units: DataFrame, depth: int = 16) -> DataFrame:
-    """(unit_id, ancestor_id, distance) of a single-parent tree, each unit its own ancestor at 0."""
-    spark = units.sparkSession
-    name = "_units_of_closure"
-    units.select("unit_id", "parent_id").createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE up(unit_id, ancestor_id, distance) AS (
-            SELECT unit_id, unit_id, 0 FROM {name}
-            UNION ALL
-            SELECT up.unit_id, u.parent_id, up.distance + 1 FROM up JOIN {name} u ON up.ancestor_id = u.unit_id
-            WHERE u.parent_id IS NOT NULL AND up.distance < {depth}
-        ) SELECT * FROM up""")
+def unit_closure(units: DataFrame) -> DataFrame:
+    """(unit_id, ancestor_id, distance) of a single-parent tree, each unit its own ancestor at 0.
+
+    Paths double in length each round until none is added, so a tree of any
+    depth takes a few joins; units on a cycle have only the ancestors that come before it closes.
+    """
+    found = keep(units.select("unit_id", F.col("unit_id").alias("ancestor_id"), F.lit(0).alias("distance")).unionByName(
+        units.where("parent_id is not null and parent_id <> unit_id").select("unit_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
+    ).distinct())
+    reach = 1
+    while True:
+        far = found.where(F.col("distance") == reach)
+        on = found.where("distance > 0").select(F.col("unit_id").alias("ancestor_id"), F.col("ancestor_id").alias("_up"), F.col("distance").alias("_more"))
+        longer = far.join(on, "ancestor_id").select("unit_id", F.col("_up").alias("ancestor_id"), (F.col("distance") + F.col("_more")).alias("distance"))
+        fresh = keep(longer.join(found, ["unit_id", "ancestor_id"], "left_anti").groupBy("unit_id", "ancestor_id").agg(F.min("distance").alias("distance")))
+        if not fresh.limit(1).count():
+            return found
+        found, reach = found.unionByName(fresh), 2 * reach
 
 
 def unit_access(closure: DataFrame, members: DataFrame, policies: DataFrame) -> DataFrame:
@@ -101,15 +109,25 @@ def end_entities(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return met.withColumn("status", status).drop("_last")
 
 
-def resolve_alias(entities: DataFrame, rounds: int = 8) -> DataFrame:
-    """(key, canonical): names joined through aliases share the least of them; ``rounds`` bounds a chain's length by 2**rounds."""
+def resolve_alias(entities: DataFrame) -> DataFrame:
+    """(key, canonical): names joined through aliases, however long the chain, share the least of them.
+
+    Each round takes the least canonical name of a name's neighbours, then that
+    name's own canonical one, so the steps double; it ends when nothing changes.
+    """
     pairs = entities.select("key", F.explode_outer("aliases").alias("other")).where("other is not null")
-    links = pairs.select(F.col("key").alias("a"), F.col("other").alias("b")).unionByName(pairs.select(F.col("other").alias("a"), F.col("key").alias("b"))).distinct()
-    best = links.select(F.col("a").alias("key")).unionByName(entities.select("key")).distinct().withColumn("canonical", F.col("key"))
-    for _ in range(rounds):
+    links = keep(pairs.select(F.col("key").alias("a"), F.col("other").alias("b")).unionByName(pairs.select(F.col("other").alias("a"), F.col("key").alias("b"))).distinct())
+    best = keep(links.select(F.col("a").alias("key")).unionByName(entities.select("key")).distinct().withColumn("canonical", F.col("key")))
+    while True:
         near = links.join(best.select(F.col("key").alias("b"), F.col("canonical").alias("_c")), "b").groupBy(F.col("a").alias("key")).agg(F.min("_c").alias("_n"))
-        best = best.join(near, "key", "left").select("key", F.least("canonical", "_n").alias("canonical"))
-    return best
+        # what a name is told to follow tells its own least neighbour too
+        told = near.join(best, "key").groupBy(F.col("canonical").alias("key")).agg(F.min("_n").alias("_t"))
+        step = best.join(near, "key", "left").join(told, "key", "left").select("key", F.least("canonical", "_n", "_t").alias("_to"), F.col("canonical").alias("_was"))
+        onward = step.select(F.col("key").alias("_to"), F.col("_to").alias("_next"))
+        after = keep(step.join(onward, "_to", "left").select("key", F.least("_to", "_next").alias("canonical"), "_was"))
+        best = after.select("key", "canonical")
+        if not after.where("canonical <> _was").limit(1).count():
+            return best
 
 
 def invalidate_contradictions(edges: DataFrame, most: int = 5) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
     if conf.get("spark.master", "").startswith(("local[", "local*")) or conf.get("spark.master") == "local":
         return f"file://{tempfile.gettempdir()}/annalist-shared"
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/annalist-shared"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

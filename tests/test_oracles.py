@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 
-from annalist.plans.queries import QUERIES, SQL
+from annalist.plans.everything import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
