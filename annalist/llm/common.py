@@ -39,10 +39,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts the lineage.
 
     The copy survives the loss of any executor, and later stages see one fixed
-    set of rows however often they are retried.
+    set of rows however often they are retried.  Shuffle files of what has been
+    written are of no use any more; Spark removes them once the driver's garbage
+    collector has found them free, so that is asked to run.
     """
     path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
