@@ -23,8 +23,7 @@ compared to one of them (a star), which links nearly all that are linked.  Then
 components are taken, and only sets in different ones that share a signature
 are compared with each other, in blocks, by a bound first: sketches of the
 parity of shingles on each of many bits differ by no more than the sets do.  Every link that is reported or
-used is checked on the sets themselves.  Two sets that share a row of signatures
-are told once for it: a signature carries a mark of the one before it.
+used is checked on the sets themselves.
 
 Nulls and oddities: a null or wordless text has no shingles and is linked with
 nothing; a text of one to four words is one shingle; repeated rows are copies;
@@ -179,16 +178,15 @@ def least_shared(tally: np.ndarray, apart: np.ndarray) -> np.ndarray:
 
 
 def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries: dict[int, int]) -> tuple[np.ndarray, ...]:
-    """(set, signature, shared, before, failed) over the instances in ``tries``.
+    """(set, signature, shared, failed) over the instances in ``tries``.
 
     A signature's low bits are its band; ``shared`` is how many signatures its
-    set shares with any partner at least; ``before`` marks the set's signature
-    before it, 0 for none; ``failed`` has the band of each set that needs
-    another try.
+    set shares with any partner at least; ``failed`` has the band of each set
+    that needs another try.
     """
     sizes = np.diff(first)
     band = np.searchsorted(uppers, sizes)
-    owners, signs, shared, before, failed = [], [], [], [], []
+    owners, signs, shared, failed = [], [], [], []
     owner_of = np.repeat(np.arange(len(sizes)), sizes)
     for shift in (0, 1):
         # its own band's instance, and that of the band below if a linked set may lie there
@@ -234,12 +232,8 @@ def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries:
             real[:, k] = np.where(single, k == 0, used[:, own].any(axis=1))
             grid[:, k] = mix(np.where(single, held[:, 0], held[:, own].sum(axis=1)) ^ mix(group * U(len(chosen)) + U(k) + salt[owner]))
         mine = np.repeat(owner, len(chosen))[real.ravel()]
-        own = (grid.ravel()[real.ravel()] & ~U(BAND_BITS)) | instance[mine].astype(U)
-        mark = np.zeros(len(own), np.uint32)
-        mark[1:] = np.where(mine[1:] == mine[:-1], (own[:-1] >> U(32)).astype(np.uint32) | 1, 0)
         owners.append(mine)
-        signs.append(own)
-        before.append(mark)
+        signs.append((grid.ravel()[real.ravel()] & ~U(BAND_BITS)) | instance[mine].astype(U))
         n_used = used.sum(axis=1)
         tally = np.bincount(owner * (SECOND + 1) + n_used, minlength=len(sizes) * (SECOND + 1)).reshape(-1, SECOND + 1)
         short = takes & (groups > 0) & ((tally * np.minimum(np.arange(SECOND + 1), DIFFER + 1)).sum(axis=1) <= apart)
@@ -247,8 +241,8 @@ def signatures(first: np.ndarray, hashes: np.ndarray, uppers: np.ndarray, tries:
         left = np.where(groups > 0, least_shared(tally, apart), tally[:, 1] - apart)
         shared.append(np.clip(left, 0, 65535)[mine])
     if not owners:
-        return np.zeros(0, int), np.zeros(0, U), np.zeros(0, int), np.zeros(0, np.uint32), np.zeros(0, int)
-    return tuple(map(np.concatenate, (owners, signs, shared, before, failed)))
+        return np.zeros(0, int), np.zeros(0, U), np.zeros(0, int), np.zeros(0, int)
+    return tuple(map(np.concatenate, (owners, signs, shared, failed)))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -281,15 +275,15 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
         for part in text_slices(batches):
             first, hashes = shingle_sets(part["text"])
             nodes, once = np.unique(set_keys(first, hashes), return_index=True)
-            owner, signs, shared, before, failed = signatures(first, hashes, uppers, tries)
+            owner, signs, shared, failed = signatures(first, hashes, uppers, tries)
             keep = np.zeros(len(first) - 1, bool)
             keep[once] = True
             chosen = keep[owner]
             keys = set_keys(first, hashes)[owner[chosen]]
-            signs, shared, before = signs[chosen], shared[chosen].astype(np.uint16), before[chosen]
+            signs, shared = signs[chosen], shared[chosen].astype(np.uint16)
             bucket = (signs >> bits).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, *columns = (c[order] for c in (bucket, signs, keys, before, shared))
+            bucket, *columns = (c[order] for c in (bucket, signs, keys, shared))
             cut = np.flatnonzero(np.diff(bucket)) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])
             rows = [(int(bucket[a]), b"".join(c[a:b].tobytes() for c in columns)) for a, b in zip(starts, ends, strict=True) if b > a]
@@ -301,24 +295,26 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "a", "b", "members", "shared"])
 
-    def groups(signs: np.ndarray, keys: np.ndarray, before: np.ndarray, shared: np.ndarray) -> pa.RecordBatch | None:
+    def groups(signs: np.ndarray, keys: np.ndarray, shared: np.ndarray, told: set[tuple[int, int]]) -> pa.RecordBatch | None:
         order = np.lexsort((keys, signs))
-        signs, keys, before, shared = signs[order], keys[order], before[order], shared[order]
+        signs, keys, shared = signs[order], keys[order], shared[order]
         new = np.ones(len(signs), bool)
         new[1:] = (signs[1:] != signs[:-1]) | (keys[1:] != keys[:-1])
-        signs, keys, before, shared = signs[new], keys[new], before[new], shared[new]
+        signs, keys, shared = signs[new], keys[new], shared[new]
         start = np.ones(len(signs), bool)
         start[1:] = signs[1:] != signs[:-1]
         at = np.flatnonzero(start)
         sizes = np.diff(np.append(at, len(signs)))
         several = np.repeat(sizes > 1, sizes)
         pivot = np.repeat(keys[at], sizes)
-        # where the signature before is shared too, the two have been told by it, or are in its group
-        mark = np.repeat(before[at], sizes)
-        told = (before == mark) & (mark > 0)
-        pairs = np.unique(np.stack([pivot, keys], axis=1)[several & ~start & ~told], axis=0)
+        pairs = np.unique(np.stack([pivot, keys], axis=1)[several & ~start], axis=0)
         members: dict[int, np.ndarray] = {}
-        rows = [(0, x, y, None, None) for x, y in pairs.tolist()]
+        # a task has several buckets, and tells a pair once
+        fresh = [p for p in map(tuple, pairs.tolist()) if p not in told]
+        if len(told) > TOLD:
+            told.clear()
+        told.update(fresh)
+        rows = [(0, x, y, None, None) for x, y in fresh]
         for a, n in zip(at[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             mine = keys[a : a + n]
             if n > COMMON:
@@ -330,14 +326,15 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+        told: set[tuple[int, int]] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                n = [len(x) // 22 for x in held]
+                n = [len(x) // 18 for x in held]
                 column = lambda kind, at: np.concatenate([np.frombuffer(x, kind, k, at * k) for x, k in zip(held, n, strict=True)])  # noqa: B023, E731
-                columns = column(U, 0), column(np.int64, 8), column(np.uint32, 16), column(np.uint16, 20)
+                columns = column(U, 0), column(np.int64, 8), column(np.uint16, 16)
                 held.clear()
-                out = groups(*columns)
+                out = groups(*columns, told)
                 if out is not None:
                     yield out
 
@@ -533,7 +530,7 @@ def components(docs: DataFrame) -> DataFrame:
     tries = {b: first_try(int(u)) for b, u in enumerate(uppers)}
     found, rounds = None, 0
     while tries:
-        shared = materialise(shared_signatures(docs, uppers, tries, row["total"]))
+        shared = materialise(shared_signatures(docs, uppers, tries, int(0.7 * row["total"])))
         again = [r["a"] for r in shared.where("kind = 2").select("a").distinct().collect()]
         tries = {b: tries[b] + 1 for b in again}
         shared = shared.withColumn("round", F.lit(rounds))
