@@ -218,12 +218,15 @@ def g2(spark, sf_dir):
     return governance.resolve_consent(episodes, consent.unionByName(org)).select("event_id", "consent_reason")
 
 
-@register("G6_leading_terms")
-def g6(spark, sf_dir):
-    return governance.leading_terms(load(spark, sf_dir, "documents"))
+STOP = ", ".join(f"'{t}'" for t in text.STOP_TERMS)
+LEADING = f"""WITH w AS (SELECT doc_id, lang, list_transform(regexp_extract_all(coalesce(text,''), '[a-zA-Z][a-zA-Z0-9_-]{{3,}}'), lambda t: lower(t)) AS ws FROM documents),
+e AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM w), c AS (SELECT doc_id, term, count(*) AS times, min(pos) AS pos FROM e WHERE term NOT IN ({STOP}) GROUP BY 1, 2)
+SELECT doc_id, term, times, CAST(pos AS INTEGER) AS pos, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY times DESC, pos) AS rank FROM c) WHERE rank <= 24"""
 
 
-STOP = ", ".join(f"'{t}'" for t in text.STOP_TERMS)
+@register("G6_leading_terms", LEADING)
+def g6(spark, sf_dir):
+    return governance.leading_terms(load(spark, sf_dir, "documents"))
 
 
 @register("G7_distinctiveness", f"""WITH w AS (SELECT doc_id, lang, list_transform(regexp_extract_all(coalesce(text,''), '[a-zA-Z][a-zA-Z0-9_-]{{3,}}'), lambda t: lower(t)) AS ws FROM documents),
@@ -345,20 +348,21 @@ def v7(spark, sf_dir):
     return feedback.nearest_rank(load(spark, sf_dir, "events"), ["event_type"], "value", 0.95)
 
 
-GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
+GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def golds(spark, sf_dir) -> DataFrame:
-    """Documents that hold the beginning of a question's text: met by its longest inner word, then compared whole."""
-    b = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("begin"))
+    """Documents that hold a question's whole text: met by its longest inner word, then compared."""
+    b = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.transform(F.regexp_extract_all("begin", F.lit("[a-zA-Z0-9_]{3,}"), 0), F.lower)
+    words = F.transform(F.regexp_extract_all("passage", F.lit("[a-zA-Z0-9_]{3,}"), 0), F.lower)
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     keyed = b.where(F.size(words) > 2).withColumn("term", longest)
-    met = keyed.join(docs.select("doc_id", "text", F.explode(text.tokens(F.col("text"))).alias("term")), "term")
-    few = b.where(F.size(words) <= 2).join(docs, F.col("text").contains(F.col("begin")))
-    return met.where(F.col("text").contains(F.col("begin"))).select("query_id", "doc_id").unionByName(few.select("query_id", "doc_id"))
+    terms = docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
+    met = terms.join(keyed.select("query_id", "term"), "term").select("query_id", "doc_id").join(b, "query_id").join(docs, "doc_id")
+    few = b.where(F.size(words) <= 2).join(docs, F.col("text").contains(F.col("passage")))
+    return met.where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id").unionByName(few.select("query_id", "doc_id"))
 
 
 @register("V1_retrieval_metrics", f"{LEXICAL}, {GOLD}, f AS (SELECT query_id, min(rank) AS first_rank FROM legs JOIN gold USING (query_id, doc_id) WHERE rank <= 60 GROUP BY 1) SELECT query_id, CAST(first_rank AS INTEGER) AS first_rank, coalesce(first_rank <= 5, false) AS hit, round(coalesce(1.0 / first_rank, 0), 6) AS rr FROM (SELECT DISTINCT query_id FROM gold) LEFT JOIN f USING (query_id)")
