@@ -240,14 +240,23 @@ def rounded(uses: dict[tuple[tuple[int, int], ...], float], left: dict[int, int]
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 300) -> list[tuple[dict[int, int], int]]:
-    """(configuration, uses in whole numbers) that together cover the histogram exactly."""
-    left = {s: n for s, n in sorted(histogram.items()) if n > 0}
+    """(configuration, uses in whole numbers) that together cover the histogram exactly.
+
+    The program is rounded after all, half and a quarter of the rounds, which
+    leave more and more to best fit; the fewest sequences win.
+    """
+    wanted = {s: n for s, n in sorted(histogram.items()) if n > 0}
     # lengths that fill a sequence alone need no pricing
-    plan = [({capacity: 1}, left.pop(capacity))] if capacity in left else []
-    if left:
-        sizes, wanted = (np.array(c) for c in zip(*left.items(), strict=True))
-        plan += rounded(relaxation(sizes, wanted.astype(float), capacity, rounds), left, capacity)
-    return plan + best_fit({s: n for s, n in left.items() if n}, capacity)
+    whole = [({capacity: 1}, wanted.pop(capacity))] if capacity in wanted else []
+    if not wanted:
+        return whole
+    sizes, counts = (np.array(c) for c in zip(*wanted.items(), strict=True))
+    plans = []
+    for most in (rounds, rounds // 2, rounds // 4):
+        left = dict(wanted)
+        plan = rounded(relaxation(sizes, counts.astype(float), capacity, most), left, capacity)
+        plans.append(plan + best_fit({s: n for s, n in left.items() if n}, capacity))
+    return whole + min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
 def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
