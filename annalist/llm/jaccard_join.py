@@ -62,6 +62,8 @@ BLOCK = 512
 COMPARED = 20_000
 #: Sets that share a signature beyond which it is a common one.
 COMMON = 32
+#: What a set is told of a common signature of its own: how many sets have it, and the signatures it shares at least.
+MEMBER = np.dtype([("node", "<i8"), ("sign", "<u8"), ("size", "<u4"), ("shared", "<u2")])
 #: Pairs that a task remembers having told, so as to tell them once.
 TOLD = 200_000
 #: Partners of a set that are tried in the rounds before all that are left.
@@ -262,11 +264,11 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int], total: int) -> DataFrame:
-    """(kind, a, b, members, shared): what sharing signatures gives.
+    """(kind, a, b, members, data): what sharing signatures gives.
 
     kind 0: a candidate pair of nodes; kind 1: the nodes (members) of a group of
-    three or more, named a; kind 2: band a needs another try; kind 3: the nodes
-    of a common signature a, with the signatures each shares at least.
+    three or more, named a; kind 2: band a needs another try; kind 3: rows of
+    ``MEMBER`` for nodes of common signatures whose hash falls into bucket a.
     """
     buckets = max(1, math.ceil(total / BUCKET))
     bits = U(64 - max(1, (buckets - 1).bit_length()))
@@ -292,8 +294,8 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "a", "b", "members", "shared"])
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "a", "b", "members", "data"])
 
     def groups(signs: np.ndarray, keys: np.ndarray, shared: np.ndarray, told: set[tuple[int, int]]) -> pa.RecordBatch | None:
         order = np.lexsort((keys, signs))
@@ -315,13 +317,21 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
             told.clear()
         told.update(fresh)
         rows = [(0, x, y, None, None) for x, y in fresh]
-        for a, n in zip(at[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        small = (sizes > 2) & (sizes <= COMMON)
+        for a, n in zip(at[small].tolist(), sizes[small].tolist(), strict=True):
             mine = keys[a : a + n]
-            if n > COMMON:
-                rows.append((3, int(signs[a].view(np.int64)), 0, mine, shared[a : a + n].astype(np.int32)))
-            else:
-                members[int(mix(np.array([mix(mine.view(U)).sum()], U)).view(np.int64)[0])] = mine
+            members[int(mix(np.array([mix(mine.view(U)).sum()], U)).view(np.int64)[0])] = mine
         rows += [(1, k, 0, m, None) for k, m in members.items()]
+        of = np.repeat(sizes, sizes)
+        many = of > COMMON
+        told_to = np.zeros(int(many.sum()), MEMBER)
+        for name, values in (("node", keys), ("sign", signs), ("size", of), ("shared", shared)):
+            told_to[name] = values[many]
+        home = (mix(keys[many].view(U)) >> bits).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        home, told_to = home[order], told_to[order]
+        cut = np.flatnonzero(np.diff(home, prepend=-1))
+        rows += [(3, int(home[a]), 0, None, part.tobytes()) for a, part in zip(cut, np.split(told_to, cut[1:]), strict=False)]
         return batch_of(rows) if rows else None
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +361,7 @@ def shared_signatures(docs: DataFrame, uppers: np.ndarray, tries: dict[int, int]
 
     spark = docs.sparkSession
     dealt = docs.select("doc_id", "text").mapInArrow(emit, "bucket bigint, data binary").repartition(max(shuffle_partitions(spark), 1), "bucket")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(reduce, "kind int, a bigint, b bigint, members array<bigint>, shared array<int>")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(reduce, "kind int, a bigint, b bigint, members array<bigint>, data binary")
 
 
 def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -433,13 +443,37 @@ def groups_of(found: DataFrame) -> DataFrame:
 
     Of its common signatures each set leaves out as many as it can spare,
     commonest first; small groups stay as they are, those of equal members once.
+    What a set's common signatures are is told to the bucket of its hash.
     """
     small = found.where("kind = 1").groupBy("a").agg(F.first("members").alias("members")).select(F.col("a").alias("group"), F.explode("members").alias("node"))
-    zipped = F.explode(F.arrays_zip("members", "shared")).alias("m")
-    common = found.where("kind = 3").select("round", F.col("a").alias("group"), F.size("members").alias("size"), zipped).select("round", "group", "size", F.col("m.members").alias("node"), F.col("m.shared").alias("shared"))
-    of_instance = Window.partitionBy("round", "node", F.col("group").bitwiseAND(F.lit(BAND_BITS).cast("bigint"))).orderBy(F.desc("size"), "group")
-    kept = common.withColumn("n", F.row_number().over(of_instance)).where("n >= shared")
-    return small.unionByName(kept.select("group", "node"))
+
+    def spare(parts: list[bytes]) -> pa.RecordBatch:
+        told = np.frombuffer(b"".join(parts), MEMBER)
+        band = told["sign"] & U(BAND_BITS)
+        order = np.lexsort((told["sign"], -told["size"].astype(np.int64), band, told["node"]))
+        told, band = told[order], band[order]
+        new = np.ones(len(told), bool)
+        new[1:] = (told["node"][1:] != told["node"][:-1]) | (band[1:] != band[:-1])
+        at = np.flatnonzero(new)
+        nth = np.arange(len(told)) - np.repeat(at, np.diff(np.append(at, len(told)))) + 1
+        kept = told[nth >= told["shared"]]
+        return pa.record_batch([pa.array(kept["sign"].astype(np.int64)), pa.array(kept["node"].astype(np.int64))], ["group", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for *key, data in zip(*(batch[c].to_pylist() for c in ("round", "a", "data")), strict=True):
+                if key != now and held:
+                    yield spare(held)
+                    held = []
+                now = key
+                held.append(data)
+        if held:
+            yield spare(held)
+
+    dealt = found.where("kind = 3").select("round", "a", "data").repartition(max(shuffle_partitions(found.sparkSession), 1), "round", "a")
+    kept = dealt.sortWithinPartitions("round", "a").mapInArrow(run, "group bigint, node bigint")
+    return small.unionByName(kept)
 
 
 def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
