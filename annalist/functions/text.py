@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,13 +57,36 @@ def chunk_fixed(text: Column, size: int = 1000) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i * size + 1, F.lit(size)))
 
 
-def chunk_paragraphs(text: Column, size: int = 1000) -> Column:
+def pack_lines(paragraph: Column, size: int = 1000) -> Column:
+    """Whole lines packed into passages of at most ``size`` characters, each joint counting one.
+
+    The last line of a passage opens the next one too if the next line fits
+    beside it; a line over the limit closes the open passage and is cut.
+    """
+    lines = F.filter(F.split(paragraph, "\n"), lambda x: F.trim(x) != "")
+    nothing = F.array().cast("array<string>")
+    size_of = lambda held: F.aggregate(held, F.lit(0), lambda n, x: n + F.char_length(x) + 1)
+    close = lambda state: F.when(F.size(state["open"]) == 0, state["done"]).otherwise(F.concat(state["done"], F.array(F.array_join(state["open"], "\n"))))
+
+    def step(state: Column, line: Column) -> Column:
+        full = (F.size(state["open"]) > 0) & (size_of(state["open"]) + F.char_length(line) + 1 > size)
+        last = F.filter(F.slice(state["open"], -1, 1), lambda x: F.char_length(x) + F.char_length(line) + 1 <= size)
+        return (
+            F.when(F.char_length(line) > size, F.struct(F.concat(close(state), chunk_fixed(line, size)).alias("done"), nothing.alias("open")))
+            .when(full, F.struct(close(state).alias("done"), F.concat(last, F.array(line)).alias("open")))
+            .otherwise(F.struct(state["done"].alias("done"), F.concat(state["open"], F.array(line)).alias("open")))
+        )
+
+    return F.aggregate(lines, F.struct(nothing.alias("done"), nothing.alias("open")), step, close)
+
+
+def chunk_paragraphs(text: Column, size: int = 1000, cut: Callable[[Column, int], Column] = chunk_fixed) -> Column:
     """Paragraphs packed into passages of at most ``size`` characters, a join counting two.
 
     A fold over the paragraphs carries the finished passages and the open one;
-    a paragraph over the limit closes the open one and is cut.
+    a paragraph over the limit closes the open one and goes through ``cut``.
     """
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def close(state: Column) -> Column:
@@ -71,7 +96,7 @@ def chunk_paragraphs(text: Column, size: int = 1000) -> Column:
         fits = F.char_length(state["open"]) + F.char_length(p) + 2 <= size
         joined = F.when(state["open"] == "", p).otherwise(F.concat(state["open"], F.lit("\n\n"), p))
         return (
-            F.when(F.char_length(p) > size, F.struct(F.concat(close(state), chunk_fixed(p, size)).alias("done"), F.lit("").alias("open")))
+            F.when(F.char_length(p) > size, F.struct(F.concat(close(state), cut(p, size)).alias("done"), F.lit("").alias("open")))
             .when((state["open"] == "") | fits, F.struct(state["done"].alias("done"), joined.alias("open")))
             .otherwise(F.struct(close(state).alias("done"), p.alias("open")))
         )
