@@ -450,7 +450,7 @@ def groups_of(found: DataFrame) -> DataFrame:
     def spare(parts: list[bytes]) -> pa.RecordBatch:
         told = np.frombuffer(b"".join(parts), MEMBER)
         band = told["sign"] & U(BAND_BITS)
-        order = np.lexsort((told["sign"], -told["size"].astype(np.int64), band, told["node"]))
+        order = np.lexsort((told["sign"].astype(np.int64), -told["size"].astype(np.int64), band, told["node"]))
         told, band = told[order], band[order]
         new = np.ones(len(told), bool)
         new[1:] = (told["node"][1:] != told["node"][:-1]) | (band[1:] != band[:-1])
