@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import backoff, chat_format, decontaminate, discriminant, jaccard_join, packing, secrets, suffix_dedup, toxicity
+from annalist.llm import backoff, chat_format, decontaminate, discriminant, jaccard_join, packing, secrets, spelling, suffix_dedup, toxicity
 from annalist.llm import quality_rules as rules
 from annalist.llm.common import held_out, table
 
@@ -68,6 +68,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents, rules.trusted_ids(labels))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_stupid_backoff": op2_stupid_backoff,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,4 +110,18 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": OP7_SQL, "op8_decontaminate": OP8_SQL}
+#: The check sum is the CRC-32 of the IEEE polynomial, a table of 256 built from it and a fold over the bytes.
+OP13_SQL = f"""
+WITH RECURSIVE t AS (SELECT list(list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS crc FROM (SELECT unnest(range(0, 256)) AS b)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+counted AS (SELECT doc_id, w, count(*) AS k, hex(encode(doc_id || ':' || w)) AS x FROM runs GROUP BY doc_id, w),
+summed AS (SELECT w, k, xor(list_reduce(list_transform(range(1, len(x), 2), lambda i: CAST(('0x' || x[i:i+1]) AS BIGINT)), lambda c, b: xor(c >> 8, t.crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM counted, t),
+words AS (SELECT w, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, k FROM summed) WHERE length(w) >= 6 GROUP BY w HAVING sum(k) >= 5),
+cut AS (SELECT w, n, i, left(w, i) || '$' || substr(w, i + 2) AS k, left(w, i) || substr(w, i + 2) AS d FROM (SELECT w, n, unnest(range(0, length(w))) AS i FROM words)),
+pairs AS (SELECT a.w AS a, b.w AS b FROM cut a JOIN cut b ON a.k = b.k AND a.w <> b.w UNION SELECT c.w, v.w FROM cut c JOIN words v ON v.w = c.d UNION SELECT v.w, c.w FROM cut c JOIN words v ON v.w = c.d),
+near AS (SELECT a AS w, count(*) AS n_near, min((-v.n, b)) AS best FROM pairs JOIN words v ON v.w = b GROUP BY a),
+forms AS (SELECT words.w AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 5 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 5 * n THEN -best[1] END AS form_n FROM words LEFT JOIN near USING (w)),
+chain(word, upto) AS (SELECT word, word FROM forms UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = chain.upto WHERE form IS NOT NULL)
+SELECT forms.word, forms.form, upto AS root, forms.n, forms.n_near, forms.form_n FROM forms JOIN chain ON chain.word = forms.word JOIN forms f2 ON f2.word = chain.upto WHERE f2.form IS NULL"""
+
+ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": OP7_SQL, "op8_decontaminate": OP8_SQL, "op13_spelling_variants": OP13_SQL}
