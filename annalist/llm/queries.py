@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import backoff, chat_format, decontaminate, discriminant, jaccard_join, packing, secrets, spelling, suffix_dedup, toxicity
+from annalist.llm import backoff, chat_format, decontaminate, discriminant, jaccard_join, packing, secrets, simhash, spelling, suffix_dedup, toxicity
 from annalist.llm import quality_rules as rules
 from annalist.llm.common import held_out, table
 
@@ -68,6 +68,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents, rules.trusted_ids(labels))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_simhash": op11_simhash,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
