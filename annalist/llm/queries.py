@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import backoff, chat_format, decontaminate, discriminant, jaccard_join, packing, secrets, simhash, spelling, suffix_dedup, toxicity
+from annalist.llm import backoff, chat_format, decontaminate, discriminant, hard_negatives, jaccard_join, packing, secrets, simhash, spelling, suffix_dedup, toxicity
 from annalist.llm import quality_rules as rules
 from annalist.llm.common import held_out, table
 
@@ -72,6 +72,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_simhash": op11_simhash,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -115,6 +120,14 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i])), 0) AS BIGINT) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s QUALIFY rank <= 3"""
+
 #: The check sum is the CRC-32 of the IEEE polynomial, a table of 256 built from it and a fold over the bytes.
 OP13_SQL = f"""
 WITH RECURSIVE t AS (SELECT list(list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS crc FROM (SELECT unnest(range(0, 256)) AS b)),
@@ -129,4 +142,4 @@ forms AS (SELECT words.w AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b
 chain(word, upto) AS (SELECT word, word FROM forms UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = chain.upto WHERE form IS NOT NULL)
 SELECT forms.word, forms.form, upto AS root, forms.n, forms.n_near, forms.form_n FROM forms JOIN chain ON chain.word = forms.word JOIN forms f2 ON f2.word = chain.upto WHERE f2.form IS NULL"""
 
-ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": OP7_SQL, "op8_decontaminate": OP8_SQL, "op13_spelling_variants": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": OP7_SQL, "op8_decontaminate": OP8_SQL, "op12_hard_negatives": OP12_SQL, "op13_spelling_variants": OP13_SQL}
