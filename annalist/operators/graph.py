@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.plans.shared import keep
+from annalist.sources.shared import keep
 
 
 def doubled(edges: DataFrame) -> DataFrame:

@@ -408,7 +408,7 @@ def streamed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
     """The rows that a stream over the events table leaves behind once it has read everything there is."""
     import uuid
 
-    from annalist.plans.shared import shared_folder
+    from annalist.sources.shared import shared_folder
 
     base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
