@@ -109,12 +109,12 @@ def has_user_turn(text: Column) -> Column:
 
 
 def pii_kinds(text: Column) -> Column:
-    """Kinds of personal data in order: email, phone, national_id, card."""
+    """Kinds of personal data in order: email, phone, national-id, card."""
     numbers = F.transform(F.regexp_extract_all(text, F.lit(CARD), 0), lambda m: F.regexp_replace(m, "[^0-9]", ""))
     card = F.exists(numbers, lambda n: F.length(n).between(13, 19) & F.call_function("luhn_check", n))
     return F.array_compact(
         F.array(
-            F.when(text.rlike(EMAIL), "email"), F.when(text.rlike(PHONE), "phone"), F.when(text.rlike(NATIONAL_ID), "national_id"), F.when(card, "card")
+            F.when(text.rlike(EMAIL), "email"), F.when(text.rlike(PHONE), "phone"), F.when(text.rlike(NATIONAL_ID), "national-id"), F.when(card, "card")
         )
     )
 

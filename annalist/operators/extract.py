@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.text import ASKS_ASSISTANT, normalize_fact, sentences, slug
+from annalist.functions.turns import turns
 
 # Closed word sets and rule tables.
 ABSENCE = ("absent", "ended", "deleted", "gone", "terminated", "removed")
@@ -25,14 +26,10 @@ TOOK_PART = ("chat.message", "chat.trace")
 JOINED = ("org.member_added", "org.role_changed")
 
 
-def split_turns(docs: DataFrame, speakers: str = "user|human|assistant|system") -> DataFrame:
-    """(doc_id, turn, speaker, body): a line that starts with a speaker's name opens a turn."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    name = F.regexp_extract("line", rf"(?i)^\s*({speakers})\s*:", 1)
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    marked = lines.withColumn("name", F.lower(name)).withColumn("turn", F.sum((F.col("name") != "").cast("int")).over(order))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return marked.groupBy("doc_id", "turn").agg(F.max_by("name", F.col("name") != "").alias("speaker"), body.alias("body")).where("turn > 0")
+def split_turns(docs: DataFrame) -> DataFrame:
+    """(doc_id, turn, speaker, body): turns from 1 on, opened by a role or, without roles, by a name that recurs."""
+    each = docs.select("doc_id", F.posexplode(turns(F.col("text"))).alias("turn", "t"))
+    return each.select("doc_id", (F.col("turn") + 1).alias("turn"), F.col("t.speaker").alias("speaker"), F.array_join("t.lines", "\n").alias("body"))
 
 
 def question_speaker(question: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.operators.temporal import supersede, value_status
+from annalist.sources.shared import keep
 
 #: Characters on either side of a match in which its guards are looked for, and kept of these as evidence.
 AROUND, EVIDENCE = 60, 300
@@ -138,7 +139,7 @@ def rebuild_values(docs: DataFrame, watched: Sequence[Watched] = DEFAULT, scope:
     whatever was there before.  ``sources.versions`` puts the tables in place at once.
     """
     seen = extract_values(docs, watched, [*scope, "doc_id", "valid_at"])
-    told = seen.select(*scope, "key", "value", "fact", "valid_at", F.col("valid_at").alias("ingested_at"), F.col("doc_id").alias("event_id"))
+    told = keep(seen.select(*scope, "key", "value", "fact", "valid_at", F.col("valid_at").alias("ingested_at"), F.col("doc_id").alias("event_id")))
     edges = value_edges(told, scope)
     named = F.concat_ws("=", "key", "value")
     status = value_status(edges.withColumn("node", F.concat_ws("\u0001", *scope, named)), "node")

@@ -125,7 +125,7 @@ def g8(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.round(scores.recency(dated, now()), 9).alias("recency"))
 
 
-@register("G14_pii_in_node", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'national_id' ELSE '' END AS kinds FROM part")
+@register("G14_pii_in_node", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'national-id' ELSE '' END AS kinds FROM part")
 def g14(spark, sf_dir):
     k = F.col("p_partkey") % 3
     nodes = load(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.when(k == 0, "ask a.b@example.org now").alias("summary"), F.create_map(F.lit("note"), F.when(k == 1, "id 123-45-6789").otherwise(F.lit(""))).alias("props"))

@@ -243,8 +243,8 @@ def g7(spark, sf_dir):
 @register("G13_pii_kinds", r"""SELECT doc_id, regexp_matches(text, '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b') AS email, regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') AS national_id FROM documents""")
 def g13(spark, sf_dir):
     kinds = text.pii_kinds(F.coalesce("text", F.lit("")))
-    has = lambda k: F.array_contains("kinds", k).alias(k)
-    return load(spark, sf_dir, "documents").withColumn("kinds", kinds).select("doc_id", has("email"), has("national_id"))
+    has = lambda k: F.array_contains("kinds", k).alias(k.replace("-", "_"))
+    return load(spark, sf_dir, "documents").withColumn("kinds", kinds).select("doc_id", has("email"), has("national-id"))
 
 
 @register("G11_redact")
@@ -528,14 +528,25 @@ def v3(spark, sf_dir):
     return evaluate.token_f1(part)
 
 
-@register("X4_split_turns", "SELECT conv_id AS doc_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'user') AS n_user FROM conversations GROUP BY 1")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one text, a line for each turn."""
+    line = F.concat_ws("", "role", F.lit(": "), F.coalesce("text", F.lit("")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda t: t["line"]), "\n")
+    return load(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(whole.alias("text"))
+
+
+@register("X4_split_turns", r"""WITH t AS (SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS x FROM conversations GROUP BY 1),
+l AS (SELECT conv_id, unnest(string_split(x, chr(10))) AS line, unnest(range(len(string_split(x, chr(10))))) AS pos FROM t),
+h AS (SELECT *, CASE WHEN contains(line, ':') THEN regexp_replace(split_part(line, ':', 1), '^\s+|\s+$', '', 'g') END AS head FROM l WHERE regexp_matches(line, '\S')),
+r AS (SELECT *, lower(head) IN ('user', 'human', 'assistant', 'ai', 'bot') AS is_role, count(*) OVER (PARTITION BY conv_id, head) AS times, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS n FROM h),
+m AS (SELECT *, bool_or(coalesce(is_role, false)) OVER (PARTITION BY conv_id) AS by_role FROM r),
+s AS (SELECT *, coalesce(CASE WHEN by_role THEN is_role ELSE regexp_matches(head, '^[A-Z][a-z]+(?: [A-Z][a-z]+)?$') AND times > 1 END, false) AS starts FROM m),
+k AS (SELECT *, sum(CAST(starts OR n = 1 AS INT)) OVER (PARTITION BY conv_id ORDER BY pos) AS turn FROM s)
+SELECT conv_id AS doc_id, CAST(turn AS BIGINT) AS turn, max(CASE WHEN starts THEN head END) AS speaker, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM k GROUP BY 1, 2""")
 def x4(spark, sf_dir):
     from annalist.operators.extract import split_turns
 
-    line = F.concat_ws("", "role", F.lit(": "), F.coalesce("text", F.lit("")))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda t: t["line"]), "\n")
-    docs = load(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(whole.alias("text"))
-    return split_turns(docs).groupBy("doc_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("speaker") == "user").alias("n_user"))
+    return split_turns(transcripts(spark, sf_dir)).select("doc_id", F.col("turn").cast("long").alias("turn"), "speaker", F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
 @register("X12_extract_rules", """WITH e AS (SELECT event_id, user_id, ['agent.created','skill.used','chat.message','agent.deployed','fact.observed'][1 + event_id % 5] AS a FROM events)

@@ -95,7 +95,7 @@ def test_fold_topics(spark, rows, want):
 
 def test_turns_insights_and_embedding(spark):
     docs = spark.createDataFrame([(1, "intro\nuser: hi there\nmore\nassistant: you must always restart it first. Fine.")], "doc_id int, text string")
-    assert [(r["speaker"], r["body"].count("\n")) for r in extract.split_turns(docs).orderBy("turn").collect()] == [("user", 1), ("assistant", 0)]
+    assert [(r["speaker"], r["body"].count("\n")) for r in extract.split_turns(docs).orderBy("turn").collect()] == [(None, 0), ("user", 1), ("assistant", 0)]
     assert [r["kind"] for r in extract.session_insights(docs).collect()] == ["convention"]
     asked = spark.createDataFrame([("What did you recommend?",), ("Where do I live?",), (None,)], "q string")
     assert [r[0] for r in asked.select(extract.question_speaker(F.col("q"))).collect()] == ["assistant", "user", "user"]
