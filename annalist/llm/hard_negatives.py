@@ -20,9 +20,9 @@ Nulls and oddities: rows with a null label or vector, or with a component that
 is null or not finite, take no part.  A null id is no multiple of anything and
 comes last among ties.  Each row stands for itself; rows of an anchor's own id
 are not its partners.  Vectors of different lengths are multiplied over their
-common components, an empty one scores 0.  Scores are 64-bit whole numbers; an
-anchor without positives, or a positive without negatives, gives no row.
-Columns other than those named play no part.
+common components, an empty one scores 0.  Scores are whole numbers, exact up
+to 2**56; an anchor without positives, or a positive without negatives, gives no
+row.  Columns other than those named play no part.
 """
 
 from __future__ import annotations
