@@ -55,8 +55,8 @@ def hash_embed(texts: DataFrame, dim: int = 64, key: str = "id") -> DataFrame:
     return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, embedding array<double>")
 
 
-def extract_rules(episodes: DataFrame) -> DataFrame:
-    """(event_id, occurred_at, type, src, dst) edges by action; an edge needs both of its ends.
+def extract_rules(episodes: DataFrame, keep: tuple[str, ...] = ("event_id", "occurred_at")) -> DataFrame:
+    """(keep..., type, src, dst) edges by action; an edge needs both of its ends.
 
     ``episodes``: event_id, occurred_at, action_type, org_id, user_id, agent_id,
     server_id, skill_id, chat_id, target_user_id, statement.
@@ -73,10 +73,10 @@ def extract_rules(episodes: DataFrame) -> DataFrame:
         edge(status.isNotNull(), "HAS_STATUS", thing, status), edge(a.isin(*USED), "USED_SKILL", user, thing), edge(a.isin(*TOOK_PART), "PARTICIPATED_IN", user, node("Chat", "chat_id")),
         edge(a.isin(*JOINED), "MEMBER_OF", F.coalesce(target, user), node("Org", "org_id")), edge((a == "fact.observed") & F.col("statement").isNotNull(), "DECIDED", user, fact),
     )
-    return episodes.select("event_id", "occurred_at", F.explode(F.array_distinct(F.array_compact(edges))).alias("e")).select("event_id", "occurred_at", "e.*")
+    return episodes.select(*keep, F.explode(F.array_distinct(F.array_compact(edges))).alias("e")).select(*keep, "e.*")
 
 
-def extract_claims(episodes: DataFrame, most: int = 400) -> DataFrame:
+def extract_claims(episodes: DataFrame, most: int = 400, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Keyed claims as anchor and value; learnings of three words or more as facts.
 
     ``episodes``: event_id, occurred_at, user_id, kind, topic, key, value, evidence_ids.
@@ -89,7 +89,7 @@ def extract_claims(episodes: DataFrame, most: int = 400) -> DataFrame:
     learning = (F.col("kind") == "learning") & (F.size(F.split(value, r"\s+")) >= 3)
     kept = episodes.where((prefix.isNotNull() & value.isNotNull()) | learning)
     return kept.select(
-        "event_id", F.col("occurred_at").alias("valid_at"), F.when(learning, "Fact").otherwise("Metric").alias("type"), F.when(learning, slug(value)).otherwise(anchor).alias("anchor"),
+        *keep, F.col("occurred_at").alias("valid_at"), F.when(learning, "Fact").otherwise("Metric").alias("type"), F.when(learning, slug(value)).otherwise(anchor).alias("anchor"),
         value.alias("value"), F.when(learning, F.when(grounded, 0.7).otherwise(0.4)).alias("confidence"),
     )
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.functions.turns import let, trimmed
 from annalist.operators.temporal import supersede, value_status
 from annalist.sources.shared import keep
 
@@ -51,15 +53,15 @@ DEFAULT = (
 SUFFIXES = ("/day", " per day", " a day", "$")
 
 
-def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+def without(suffix: str, x: Column) -> Column:
+    return F.when(F.lower(x).endswith(suffix), trimmed(F.substring(x, F.lit(1), F.char_length(x) - len(suffix)))).otherwise(x)
 
 
 def plain_value(raw: Column) -> Column:
     """A value without signs of currency and unit, so that one value has one identity."""
     v = trimmed(F.regexp_replace(trimmed(raw), r"^[$~]+", ""))
     for suffix in SUFFIXES:
-        v = F.when(F.lower(v).endswith(suffix), trimmed(F.substring(v, F.lit(1), F.char_length(v) - len(suffix)))).otherwise(v)
+        v = let(v, partial(without, suffix))
     return trimmed(F.regexp_replace(v, r"\$+$", ""))
 
 
@@ -113,11 +115,13 @@ def windows_of(i: int, w: Watched) -> Column:
 
 def last_of(windows: Column, w: Watched) -> Column:
     guards = lambda x: x["value"].isNotNull() & (x["window"].rlike(w.require) if w.require else F.lit(True)) & (~x["window"].rlike(w.exclude) if w.exclude else F.lit(True))
+    def told(value: Column, window: Column) -> Column:
+        fact = F.concat(F.lit(f"{w.label} = "), value, F.lit(f" {w.unit}" if w.unit else ""))
+        evidence = F.left(trimmed(window), F.lit(EVIDENCE))
+        return F.when(value.rlike(w.value), F.struct(F.lit(w.key).alias("key"), value.alias("value"), F.lit(w.unit).alias("unit"), fact.alias("fact"), evidence.alias("evidence")))
+
     last = F.try_element_at(F.filter(windows, guards), F.lit(-1))
-    value = plain_value(last["value"])
-    fact = F.concat(F.lit(f"{w.label} = "), value, F.lit(f" {w.unit}" if w.unit else ""))
-    told = F.struct(F.lit(w.key).alias("key"), value.alias("value"), F.lit(w.unit).alias("unit"), fact.alias("fact"), F.left(trimmed(last["window"]), F.lit(EVIDENCE)).alias("evidence"))
-    return F.when(value.rlike(w.value), told)
+    return let(last, lambda x: let(plain_value(x["value"]), lambda v: told(v, x["window"])))
 
 
 def value_edges(values: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions.turns import chunk_turns
-from annalist.operators import resolve, values
+from annalist.operators import resolve, values, whole
 from annalist.plans.queries import load, register, streamed, transcripts
 from annalist.sources import collect, guarded, qa, versions
 from annalist.sources.shared import keep, shared_folder
@@ -157,3 +157,66 @@ def s31(spark, sf_dir):
     marked = second.marks.select("key").withColumn("marked", F.lit(True))
     every = items.select("key").distinct().join(landed, "key", "left").join(marked, "key", "left").join(late, "key", "left")
     return every.select("key", F.coalesce("n", F.lit(0)).cast("long").alias("n_first_or_second"), F.coalesce("marked", F.lit(False)).alias("marked"), F.coalesce("t", F.lit(0)).cast("int").alias("n_third"))
+
+
+def episodes_of(events: DataFrame) -> DataFrame:
+    """Events as episodes of six kinds: an agent's state, a skill, a chat, a member that goes, a note, a state claim."""
+    i, u = F.col("event_id"), F.col("user_id")
+    kind = i % 6
+    action = F.when(i % 12 == 0, "agent.deployed").when(kind == 0, "agent.stopped").when(kind == 1, "skill.used").when(kind == 2, "chat.message").when(kind == 3, whole.REMOVED).when(kind == 4, whole.DOCUMENT).otherwise(whole.CLAIM)
+    cost = F.concat(F.lit("note: the platform costs $"), F.floor(F.col("value") / 40).cast("string"), F.lit(" per day, password=hunter2secret"))
+    none = F.lit(None).cast("string")
+    org = (u % 4).cast("string")
+    return events.select(
+        i.alias("event_id"), F.col("ts").cast("timestamp").alias("occurred_at"), (F.col("ts").cast("timestamp") + F.make_dt_interval(hours=F.pmod(F.hash("event_id"), F.lit(50)))).alias("ingested_at"), org.alias("org_id"), F.lit("org").alias("scope"), org.alias("scope_id"),
+        F.when(kind != 3, u).alias("user_id"), F.col("event_type").alias("source"), action.alias("action_type"), F.when(i % 5 == 0, "working").alias("lifecycle"), F.when(kind == 4, cost).alias("content"), F.col("value").alias("salience"),
+        F.when(kind == 0, u % 10).alias("agent_id"), none.alias("server_id"), F.when(kind == 1, F.col("event_type")).alias("skill_id"), F.when(kind == 2, u % 20).alias("chat_id"), F.when(kind == 3, u).alias("target_user_id"), none.alias("statement"),
+        F.when(kind == 5, "state").alias("kind"), F.when(kind == 5, "load").alias("topic"), F.when(kind == 5, F.concat(F.lit("k"), (u % 5).cast("string"))).alias("key"), F.when(kind == 5, F.concat(F.lit("level "), F.floor(F.col("value") / 30).cast("string"))).alias("value"),
+        F.array().cast("array<string>").alias("evidence_ids"),
+    )
+
+
+def fold_rules(spark: SparkSession) -> whole.Rules:
+    consent = spark.createDataFrame([("org", "3", "pause")], "scope string, scope_id string, state string")
+    return whole.Rules(consent, F.array(F.lit("error")), F.lit(None).cast("array<string>"), 1.0, 40)
+
+
+FOLDED = """WITH e AS (SELECT *, event_id % 6 AS k, CAST(user_id % 4 AS VARCHAR) AS o, 'User:' || user_id AS u FROM events WHERE user_id % 4 <> 3 AND event_type <> 'error'),
+x AS (SELECT o, u, k, event_id, ts, user_id, event_type, value FROM e WHERE k <> 4 UNION ALL SELECT o, u, k, event_id, ts, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, CAST(ing AS DATE) ORDER BY ing, event_id) AS n FROM (SELECT e.*, ts AS ing FROM e WHERE k = 4)) WHERE n <= 1000000 AND value >= 1),
+b AS (SELECT o, event_id, ts, 'MEMBER_OF' AS type, u AS src, 'Org:' || o AS slot, CASE WHEN k = 3 THEN 'ended' ELSE 'open' END AS value FROM x WHERE k <> 5
+ UNION ALL SELECT o, event_id, ts, 'DEPLOYED', u, 'Agent:' || user_id % 10, 'open' FROM x WHERE event_id % 12 = 0
+ UNION ALL SELECT o, event_id, ts, 'HAS_STATUS', 'Agent:' || user_id % 10, '', CASE WHEN event_id % 12 = 0 THEN 'Status:running' ELSE 'Status:stopped' END FROM x WHERE k = 0
+ UNION ALL SELECT o, event_id, ts, 'USED_SKILL', u, 'Skill:' || event_type, 'open' FROM x WHERE k = 1
+ UNION ALL SELECT o, event_id, ts, 'PARTICIPATED_IN', u, 'Chat:' || user_id % 20, 'open' FROM x WHERE k = 2
+ UNION ALL SELECT o, event_id, ts, 'HAS_VALUE', 'metric:daily-cost', '', 'metric:daily-cost=' || CAST(floor(value / 40) AS BIGINT) FROM x WHERE k = 4
+ UNION ALL SELECT o, event_id, ts, 'HAS_VALUE', 'state:load:k' || user_id % 5, '', 'state:load:k' || user_id % 5 || '=level ' || CAST(floor(value / 30) AS BIGINT) FROM x WHERE k = 5),
+l AS (SELECT *, lag(value) OVER w AS before FROM b WINDOW w AS (PARTITION BY o, type, src, slot ORDER BY ts, event_id)),
+r AS (SELECT *, lead(ts) OVER (PARTITION BY o, type, src, slot ORDER BY ts, event_id) AS invalid_at FROM l WHERE before IS NULL OR before <> value)
+SELECT o AS scope_id, type, src, CASE WHEN slot = '' THEN value ELSE slot END AS dst, ts AS valid_at, invalid_at FROM r WHERE slot = '' OR value = 'open'"""
+
+
+def naive_edges(edges: DataFrame) -> DataFrame:
+    naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return edges.select("scope_id", "type", "src", "dst", naive("valid_at"), naive("invalid_at"))
+
+
+@register("B15_fold", FOLDED)
+def b15(spark, sf_dir):
+    """No day's budget runs out here, so that SQL needs no arrival times; the tests let it."""
+    rules = fold_rules(spark)
+    rules.cap = 1_000_000
+    return naive_edges(whole.fold_all(episodes_of(load(spark, sf_dir, "events")), rules)["edges"])
+
+
+@register("B15_fold_stream", FOLDED)
+def b15s(spark, sf_dir):
+    """The same from a stream of four files in turn, dealt by hash, so that what comes late is folded in."""
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rules = fold_rules(spark)
+    rules.cap = 1_000_000
+    events = load(spark, sf_dir, "events")
+    events.repartition(4, F.hash("event_id")).write.parquet(f"{base}/in")
+    fold = whole.Fold(spark, f"{base}/fold", rules)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream.writeStream.foreachBatch(lambda batch, epoch: fold.step(episodes_of(batch), epoch)).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return naive_edges(fold.tables()["edges"])
