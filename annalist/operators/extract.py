@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,23 +122,22 @@ def fold_topics(facts: DataFrame) -> DataFrame:
 
     A set replaces what is dated on or before it; later adds and removes count
     from there; a fact said again on its date counts once; no sum falls below 0.
-    ``facts``: topic, fact, date, op (add, remove, set), qty, unit.
+    ``facts``: topic, fact, date, op (add, remove, set, none), qty, unit.
+
+    A sum that is held at 0 whenever it would fall below is the running sum less
+    the least it ever was below 0, so a topic of any length needs one window.
     """
-    kind = facts.schema["topic"].dataType.simpleString()
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        sums: dict[str, float] = {}
-        n = 0
-        rows = rows.drop_duplicates(["date", "fact"]).assign(_set=(rows["op"] == "set").astype(int)).sort_values(["date", "_set", "fact"], ascending=[True, False, True])
-        last_set = rows.loc[rows["op"] == "set", "date"].max() if (rows["op"] == "set").any() else None
-        for r in rows.to_dict("records"):
-            unit, qty = r["unit"] or "", float(r["qty"] or 0)
-            if r["op"] == "set" and r["date"] == last_set:
-                sums[unit], n = qty, n + 1
-            elif last_set is None or r["date"] > last_set:
-                if r["op"] in ("add", "remove"):
-                    sums[unit] = max(0.0, sums.get(unit, 0.0) + (qty if r["op"] == "add" else -qty))
-                    n += 1
-        return pd.DataFrame({"topic": [rows["topic"].iloc[0]] * max(1, len(sums)), "unit": list(sums) or [""], "total": list(sums.values()) or [0.0], "n": [n] * max(1, len(sums))})
-
-    return facts.groupBy("topic").applyInPandas(fold, f"topic {kind}, unit string, total double, n bigint")
+    said = facts.groupBy("topic", "date", "fact").agg(F.min(F.struct("op", F.coalesce("qty", F.lit(0.0)).cast("double").alias("qty"), F.coalesce("unit", F.lit("")).alias("unit"))).alias("f")).select("topic", "date", "fact", "f.*")
+    last = said.groupBy("topic").agg(F.max(F.when(F.col("op") == "set", F.col("date"))).alias("_set"))
+    met = said.join(last, "topic")
+    starts = (F.col("op") == "set") & (F.col("date") == F.col("_set"))
+    moves = F.col("op").isin("add", "remove") & (F.col("_set").isNull() | (F.col("date") > F.col("_set")))
+    kept = met.where(starts | moves)
+    change = F.when(F.col("op") == "add", F.col("qty")).when(F.col("op") == "remove", -F.col("qty"))
+    order = Window.partitionBy("topic", "unit").orderBy("date", F.col("op") != "set", "fact")
+    first = F.last(F.when(F.col("op") == "set", F.col("qty")), ignorenulls=True).over(order)
+    running = kept.withColumn("_start", F.coalesce(first, F.lit(0.0))).withColumn("_run", F.sum(change).over(order)).withColumn("_level", F.col("_start") + F.col("_run"))
+    level = F.when(F.count("_run") > 0, F.max_by("_level", F.struct("date", "fact")) - F.least(F.lit(0.0), F.min("_level"))).otherwise(F.max_by("_start", F.struct("date", "fact")))
+    sums = running.groupBy("topic", "unit").agg(level.alias("total"))
+    counts = met.groupBy("topic").agg(F.count_if(starts | moves).alias("n"))
+    return counts.join(sums, "topic", "left").select("topic", F.coalesce("unit", F.lit("")).alias("unit"), F.coalesce("total", F.lit(0.0)).alias("total"), "n")

@@ -65,7 +65,8 @@ def effective_ontology(core: DataFrame, extensions: DataFrame) -> DataFrame:
     """Classes of the core, and each tenant's own whose name the core does not have."""
     own = extensions.select("org_id", F.explode("classes").alias("class")).distinct()
     everyone = extensions.select("org_id").distinct()
-    return everyone.join(F.broadcast(core.select("class").distinct())).withColumn("origin", F.lit("core")).unionByName(
+    classes = core.agg(F.collect_set("class")).scalar()  # the core's are a closed set
+    return everyone.select("org_id", F.explode(classes).alias("class")).withColumn("origin", F.lit("core")).unionByName(
         own.join(core.select("class"), "class", "left_anti").select("org_id", "class").withColumn("origin", F.lit("extension"))
     )
 

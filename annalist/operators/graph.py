@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.functions.scores import micros
+from annalist.functions.text import NEGATIONS
 from annalist.sources.shared import keep
 
 
@@ -131,13 +133,29 @@ def resolve_alias(entities: DataFrame) -> DataFrame:
 
 
 def invalidate_contradictions(edges: DataFrame, most: int = 5) -> DataFrame:
-    """Open edges of one source and type whose statements contradict: the older is closed at the newer's start."""
-    from annalist.functions.text import contradicts
+    """Open edges of one source and type whose statements contradict: the older is closed at the newer's start.
 
+    Edges meet under every two words that they share, and only a negated one
+    with one that is not, so whatever meets does contradict.  Under each two
+    words a newer edge takes the last ``most`` of the other kind that began
+    before it, by their numbers, and of those of all its words the last ``most``
+    stay.  One identity (source, type, other end) has one open edge.
+    """
     open_ = edges.where("invalid_at is null")
-    newer = open_.select("src_id", "type", F.col("dst_id").alias("_dst"), F.col("fact").alias("_fact"), F.col("valid_at").alias("_at"))
-    met = open_.join(newer, ["src_id", "type"]).where((F.col("dst_id") != F.col("_dst")) & (F.col("_at") > F.col("valid_at")) & contradicts(F.col("fact"), F.col("_fact")))
-    order = Window.partitionBy("src_id", "type", "_dst").orderBy(F.desc("valid_at"), "edge_id")
+    denies = F.array(*map(F.lit, NEGATIONS))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("fact"), F.lit("[a-z0-9]+"), 0))
+    told = open_.select("src_id", "type", "edge_id", F.col("dst_id").alias("dst"), "valid_at", F.arrays_overlap(words, denies).alias("denied"), F.array_sort(F.array_except(words, denies)).alias("w"))
+    twos = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda y: F.concat_ws(" ", x, y))))
+    each = told.select("src_id", "type", F.explode(twos).alias("two"), "edge_id", "dst", "valid_at", "denied")
+    group = ("src_id", "type", "two")
+    before = Window.partitionBy(*group).orderBy(micros(F.col("valid_at"))).rangeBetween(Window.unboundedPreceding, -1)
+    other = F.coalesce(F.when(F.col("denied"), F.count_if(~F.col("denied")).over(before)).otherwise(F.count_if("denied").over(before)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy(*group, "denied").orderBy("valid_at", F.desc("edge_id")))
+    placed = each.withColumn("n", nth.cast("long")).withColumn("other", other)
+    last = F.sequence(F.greatest(F.col("other") - most, F.lit(1).cast("long")), F.col("other"))  # one more, as one may have the same other end
+    newer = placed.where("other > 0").select(*group, (~F.col("denied")).alias("denied"), F.explode(last).alias("n"), F.col("edge_id").alias("_newer"), F.col("dst").alias("_dst"), F.col("valid_at").alias("_at"))
+    met = placed.join(newer, [*group, "denied", "n"]).where(F.col("dst") != F.col("_dst")).select("edge_id", "valid_at", "_newer", "_at").distinct()
+    order = Window.partitionBy("_newer").orderBy(F.desc("valid_at"), "edge_id")
     hit = met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).groupBy("edge_id").agg(F.min("_at").alias("_closed"))
     return edges.join(hit, "edge_id", "left").withColumn("invalid_at", F.coalesce("invalid_at", "_closed")).drop("_closed")
 

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.scores import rrf_weight
 from annalist.functions.text import chunk_fixed, query_terms, tokens
-
-#: Bytes of question vectors that are sent to every task; more are handled block by block.
-VECTOR_BLOCK_BYTES = 8_000_000
+from annalist.operators.vectors import exact_topk
 
 
 def chunks_of(docs: DataFrame, size: int = 1000) -> DataFrame:
@@ -66,52 +60,8 @@ def title_leg(queries: DataFrame, docs: DataFrame, most: int = 20) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
-    """R2: query_id, vec_id, score, rank: exact cosine of each question with every vector.
-
-    Questions travel to the tasks in blocks of a fixed size; each task keeps the
-    best k of its own vectors for each question, and the best of those remain.
-    """
-    found = None
-    for block in vector_blocks(queries):
-        part = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding").mapInArrow(block_scorer(block, k), "query_id bigint, vec_id bigint, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.select(F.col("query_id").cast("bigint"), F.lit(0).cast("bigint").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    return top(found, "query_id", [F.desc("score"), "vec_id"], k)
-
-
-def vector_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows, size = [], [], 0
-    for r in queries.where(F.col("embedding").isNotNull()).orderBy("query_id").toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(np.array([0.0 if x is None else x for x in r["embedding"]]))
-        size += rows[-1].nbytes
-        if size >= VECTOR_BLOCK_BYTES:
-            yield np.array(ids), np.stack(rows)
-            ids, rows, size = [], [], 0
-    if ids:
-        yield np.array(ids), np.stack(rows)
-
-
-def block_scorer(block: tuple[np.ndarray, np.ndarray], k: int):
-    ids, asked = block
-    norms = np.linalg.norm(asked, axis=1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = np.array([[0.0 if x is None else x for x in v] for v in batch["embedding"].to_pylist()])
-            vec_ids = batch["vec_id"].to_numpy()
-            width = min(values.shape[1], asked.shape[1])
-            own = np.linalg.norm(values, axis=1)
-            scale = norms[:, None] * own[None, :]
-            scores = np.where(scale > 0, asked[:, :width] @ values[:, :width].T / np.where(scale > 0, scale, 1), 0.0).round(6)
-            order = np.lexsort((np.broadcast_to(vec_ids, scores.shape), -scores), axis=1)[:, :k]
-            n = order.shape[1]
-            yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(vec_ids[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["query_id", "vec_id", "score"])
-
-    return run
+    """R2: query_id, vec_id, score, rank: exact cosine of each question with every vector."""
+    return exact_topk(queries, vectors, k)
 
 
 def rrf(legs: DataFrame, weights: dict[str, float], item: list[str], k: int = 60) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,28 +32,36 @@ def supersede_by_arrival(obs: DataFrame, key: list[str], value: str = "dst") ->
     """B4 in arrival order: each observation meets only the edge that is open when it arrives.
 
     A later one closes the open edge at its start; an earlier one is bounded by
-    the open edge; the open value asserted again changes nothing.
+    the open edge; the open value asserted again changes nothing.  Rows come
+    sorted, and all that is kept of a key is its open edge, whatever its length.
     """
+    names = [*key, value, "valid_at", "event_id"]
     kinds = {f.name: f.dataType.simpleString() for f in obs.schema}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), f"{value} {kinds[value]}", "valid_at timestamp", "invalid_at timestamp", f"event_id {kinds['event_id']}"])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        edges: list[dict] = []
-        open_: dict | None = None
-        for r in rows.sort_values(["ingested_at", "event_id"]).to_dict("records"):
-            edge = {**{k: r[k] for k in key}, value: r[value], "valid_at": r["valid_at"], "invalid_at": None, "event_id": r["event_id"]}
-            if open_ is not None and open_[value] == r[value]:
-                continue
-            if open_ is None or r["valid_at"] >= open_["valid_at"]:
-                if open_ is not None:
-                    open_["invalid_at"] = r["valid_at"]
-                open_ = edge
-            else:
-                edge["invalid_at"] = open_["valid_at"]
-            edges.append(edge)
-        return pd.DataFrame(edges, columns=[*key, value, "valid_at", "invalid_at", "event_id"])
-
-    return obs.groupBy(*key).applyInPandas(fold, schema)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in [*key, value]), "valid_at timestamp", "invalid_at timestamp", f"event_id {kinds['event_id']}"])
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_: tuple | None = None  # key, value, valid_at, event_id
+        for rows in frames:
+            done: list[tuple] = []
+            for r in rows.itertuples(index=False, name=None):
+                at, same = r[-2], open_ is not None and open_[: len(key)] == r[: len(key)]
+                if open_ is not None and not same:
+                    done.append((*open_[:-1], None, open_[-1]))
+                if same and open_[-3] == r[-3]:
+                    continue
+                if same and at < open_[-2]:
+                    done.append((*r[:-1], open_[-2], r[-1]))
+                    continue
+                if same:
+                    done.append((*open_[:-1], at, open_[-1]))
+                open_ = r
+            yield pd.DataFrame(done, columns=[*names[:-1], "invalid_at", "event_id"])
+        if open_ is not None:
+            yield pd.DataFrame([(*open_[:-1], None, open_[-1])], columns=[*names[:-1], "invalid_at", "event_id"])
+
+    n = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = obs.withColumn("valid_at", F.col("valid_at").cast("timestamp")).repartition(n, *key).sortWithinPartitions(*key, "ingested_at", "event_id")
+    return dealt.select(*names).mapInPandas(fold, schema)
 
 
 def at_time(edges: DataFrame, at: Column, mode: str = "valid") -> DataFrame:
