@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.scores import as_of
 from annalist.functions.text import tokens
 from annalist.operators.retrieve import cap_per_doc, rrf, terms_of_queries, top, vector_topk
+from annalist.sources.shared import keep
 
 # Statuses that a search, and that a merge, leaves out.
 NOT_SEARCHED = ("superseded", "ended")
@@ -144,3 +145,44 @@ def answer_again(queries: DataFrame, hits: DataFrame, items: DataFrame, search)
     asked = terms_of_queries(missed).select("query_id", "term")
     admitted = items.join(items.select("doc_id", F.explode(tokens(F.concat_ws(" ", "title", "path"))).alias("term")).join(asked, "term").select("doc_id").distinct(), "doc_id", "left_semi")
     return hits.unionByName(search(missed, admitted))
+
+
+def focused(hits: DataFrame, queries: DataFrame, factor: float = 1.4) -> DataFrame:
+    """Hits of questions that have an active workspace: bound to it (mode filter), or its own times ``factor`` (mode boost)."""
+    met = hits.join(queries.select("query_id", F.col("workspace").alias("_active"), F.col("workspace_mode").alias("_mode")), "query_id")
+    same = F.coalesce(F.col("workspace") == F.col("_active"), F.lit(False))
+    kept = met.where(F.col("_active").isNull() | (F.col("_mode") != "filter") | same)
+    return kept.withColumn("score", F.round(F.when(same & (F.col("_mode") != "filter"), F.col("score") * factor).otherwise(F.col("score")), 9)).drop("_active", "_mode")
+
+
+def of_kind(kind: Column) -> Column:
+    """P13's test for a question's own kind: null takes all; states, preferences and records are metrics by key; any other kind is a fact."""
+    prefix = F.when(kind == "state", "state:").when(kind == "preference", "pref:").when(kind == "record", "record:")
+    return kind.isNull() | F.when(prefix.isNull(), F.col("type") == "Fact").otherwise((F.col("type") == "Metric") & F.col("key").startswith(prefix))
+
+
+def search_all(queries: DataFrame, nodes: DataFrame, passages: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """What a search gives with all its switches together, each question with its own.
+
+    ``queries``: query_id, origin (direct, derived or null for both), kind,
+    workspace, workspace_mode (boost, filter), depth (0 to 3), limit, per_document.
+    ``nodes``: fused hits with type, key, workspace; ``passages``: fused hits with
+    doc_id, ordinal, workspace; ``edges``: edge_id, src_id, dst_id, those that hold.
+    Gives nodes, passages, the edges around the nodes as far as ``depth`` goes,
+    and one list of both tiers.
+    """
+    from annalist.operators.graph import hops
+
+    asked = lambda tier: queries.where(F.col("origin").isNull() | (F.col("origin") == tier))
+    cut = lambda df, order: top(df, "query_id", order, 1 << 30).where(F.col("rank") <= F.col("_limit")).drop("_limit")
+    derived = focused(nodes.join(asked("derived").select("query_id", F.col("kind").alias("_kind"), F.col("limit").alias("_limit")), "query_id").where(of_kind(F.col("_kind"))).drop("_kind"), queries)
+    found = keep(cut(derived, [F.desc("score"), "node_id"]))
+    direct = focused(passages.join(asked("direct").select("query_id", F.col("limit").alias("_limit"), F.col("per_document").alias("_per")), "query_id"), queries)
+    own = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "ordinal")
+    read = keep(cut(direct.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= F.col("_per")).drop("_n", "_per"), [F.desc("score"), "doc_id", "ordinal"]))
+    deep = queries.where("depth > 0").select("query_id", "depth")
+    near = hops(found.join(deep, "query_id").select("query_id", "node_id"), edges, 2).join(deep, "query_id").where("hops < depth")
+    ends = near.select("query_id", "node_id").distinct()
+    touched = edges.select("edge_id", F.explode(F.array("src_id", "dst_id")).alias("node_id")).join(ends, "node_id").select("query_id", "edge_id").distinct()
+    both = across_tiers(found, read, 1 << 30).join(queries.select("query_id", F.col("limit").alias("_limit")), "query_id").where(F.col("rank") <= F.col("_limit")).drop("_limit")
+    return {"nodes": found, "passages": read, "edges": touched, "fused": both}

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions.turns import chunk_turns
-from annalist.operators import resolve, values, whole
-from annalist.plans.queries import load, register, streamed, transcripts
+from annalist.operators import resolve, retrieve, search, values, whole
+from annalist.plans.queries import LEXICAL, lexical, load, questions, register, streamed, transcripts
 from annalist.sources import collect, guarded, qa, versions
 from annalist.sources.shared import keep, shared_folder
 
@@ -220,3 +220,73 @@ def b15s(spark, sf_dir):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     stream.writeStream.foreachBatch(lambda batch, epoch: fold.step(episodes_of(batch), epoch)).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return naive_edges(fold.tables()["edges"])
+
+
+SWITCHES = """q AS (SELECT query_id, CASE WHEN query_id % 5 = 0 THEN 'direct' WHEN query_id % 5 = 1 THEN 'derived' END AS origin, CASE WHEN query_id % 3 = 0 THEN 'state' WHEN query_id % 3 = 1 THEN 'learning' END AS kind,
+CASE WHEN query_id % 2 = 0 THEN 'en' END AS workspace, CASE WHEN query_id % 4 = 0 THEN 'filter' ELSE 'boost' END AS mode, query_id % 4 AS depth, 3 + query_id % 4 AS lim, 1 + query_id % 2 AS per FROM (SELECT item_id AS query_id FROM benchmark))"""
+
+
+@register("R20_search", f"""{LEXICAL}, {SWITCHES}, p0 AS (SELECT query_id, doc_id, ordinal, round(1.0 / (60 + rank), 9) AS s, lang FROM legs JOIN documents USING (doc_id) WHERE rank <= 60),
+n0 AS (SELECT query_id, doc_id, round(1.0 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY min(rank), doc_id)), 9) AS s, any_value(lang) AS lang FROM legs JOIN documents USING (doc_id) WHERE rank <= 60 GROUP BY query_id, doc_id),
+n1 AS (SELECT query_id, doc_id, lim, round(CASE WHEN lang = workspace AND mode <> 'filter' THEN s * 1.4 ELSE s END, 9) AS s FROM n0 JOIN q USING (query_id) WHERE origin IS DISTINCT FROM 'direct' AND (workspace IS NULL OR mode <> 'filter' OR lang = workspace)
+  AND (kind IS NULL OR (kind = 'state' AND doc_id % 3 = 0) OR (kind = 'learning' AND doc_id % 3 = 2))),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM n1) WHERE rank <= lim),
+p1 AS (SELECT query_id, doc_id, ordinal, lim, per, round(CASE WHEN lang = workspace AND mode <> 'filter' THEN s * 1.4 ELSE s END, 9) AS s FROM p0 JOIN q USING (query_id) WHERE origin IS DISTINCT FROM 'derived' AND (workspace IS NULL OR mode <> 'filter' OR lang = workspace)),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY s DESC, ordinal) AS k FROM p1),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id, ordinal) AS rank FROM p2 WHERE k <= per) WHERE rank <= lim),
+i AS (SELECT query_id, 'node:' || doc_id AS item, rank FROM n UNION ALL SELECT query_id, 'passage:' || doc_id || ':' || ordinal, rank FROM p),
+f AS (SELECT query_id, item, round(1.0 / (60 + rank), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (60 + rank), 9) DESC, item) AS rank FROM i),
+reach AS (SELECT DISTINCT query_id, doc_id + 7 * k AS at_ FROM n JOIN q USING (query_id), (SELECT unnest([-2, -1, 0, 1, 2]) AS k) WHERE depth > 0 AND abs(k) < depth),
+e AS (SELECT query_id, count(DISTINCT a.doc_id) AS n_edges FROM reach JOIN documents a ON a.doc_id = at_ OR a.doc_id + 7 = at_ JOIN documents b ON b.doc_id = a.doc_id + 7 GROUP BY 1)
+SELECT f.query_id, item, score, CAST(rank AS INTEGER) AS rank, coalesce(n_edges, 0) AS n_edges FROM f JOIN q ON q.query_id = f.query_id LEFT JOIN e ON e.query_id = f.query_id WHERE rank <= lim""")
+def r20(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("workspace"))
+    hits = lexical(spark, sf_dir).select("query_id", "doc_id", "ordinal", "rank")
+    i, d = F.col("query_id"), F.col("node_id")
+    queries = questions(spark, sf_dir).select(
+        "query_id", F.when(i % 5 == 0, "direct").when(i % 5 == 1, "derived").alias("origin"), F.when(i % 3 == 0, "state").when(i % 3 == 1, "learning").alias("kind"), F.when(i % 2 == 0, "en").alias("workspace"),
+        F.when(i % 4 == 0, "filter").otherwise("boost").alias("workspace_mode"), (i % 4).alias("depth"), (3 + i % 4).alias("limit"), (1 + i % 2).alias("per_document"),
+    )
+    first = retrieve.top(hits.groupBy("query_id", F.col("doc_id").alias("node_id")).agg(F.min("rank").alias("_r")), "query_id", ["_r", "node_id"], 1 << 30).drop("_r")
+    fused = retrieve.rrf(first.withColumn("leg", F.lit("lexical")), {}, ["node_id"]).join(docs.withColumnRenamed("doc_id", "node_id"), "node_id")
+    nodes = fused.withColumn("type", F.when(d % 3 == 2, "Fact").otherwise("Metric")).withColumn("key", F.when(d % 3 == 0, "state:x").when(d % 3 == 1, "pref:x").otherwise("fact"))
+    passages = retrieve.rrf(hits.withColumn("leg", F.lit("lexical")), {}, ["doc_id", "ordinal"]).join(docs, "doc_id")
+    every = docs.select(F.col("doc_id").alias("src_id"))
+    edges = every.join(docs.select((F.col("doc_id") - 7).alias("src_id")), "src_id").select(F.col("src_id").alias("edge_id"), "src_id", (F.col("src_id") + 7).alias("dst_id"))
+    got = search.search_all(queries, nodes, passages, edges)
+    around = got["edges"].groupBy("query_id").agg(F.count("*").alias("n_edges"))
+    return got["fused"].join(around, "query_id", "left").select("query_id", "item", "score", "rank", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"))
+
+
+@register("K14_builder_brief", """WITH h AS (SELECT s_nationkey AS org_id, 'h' || s_suppkey AS hop, 'w' || s_suppkey % 3 AS ws, 't' || s_suppkey % 7 AS topic FROM supplier),
+v AS (SELECT p_size % 25 AS org_id, 't' || p_partkey % 11 || '/' || p_brand AS topic, p_partkey FROM part WHERE p_partkey % 4 > 0),
+f AS (SELECT ps AS fact_id, org_id, scope, ws, phase, topic, hop FROM (SELECT p_partkey AS ps, p_size % 25 AS org_id, CASE p_partkey % 5 WHEN 0 THEN 'global' ELSE 'org' END AS scope, CASE WHEN p_partkey % 2 = 0 THEN 'w' || p_partkey % 3 END AS ws,
+  CASE WHEN p_partkey % 17 = 0 THEN 'build' END AS phase, 't' || p_partkey % 13 AS topic, CASE WHEN p_partkey % 10 = 0 THEN 'h' || p_partkey % 40 END AS hop FROM part)),
+e AS (SELECT user_id % 25 AS org_id, 'h' || event_id % 20 AS hop, event_id % 3 AS a, value FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 10 DAY),
+state AS (SELECT h.org_id, hop, 'state' AS section, count(*) AS n FROM h JOIN v ON v.org_id = h.org_id AND starts_with(v.topic, h.topic) GROUP BY 1, 2),
+l2 AS (SELECT h.org_id, h.hop, 'learnings' AS section, count(DISTINCT fact_id) AS n FROM h JOIN f ON f.org_id = h.org_id WHERE starts_with(f.topic, h.topic) OR f.phase = 'build' GROUP BY 1, 2),
+scores AS (SELECT h.org_id, h.hop, 'scores' AS section, count(*) AS n FROM h JOIN e ON e.org_id = h.org_id AND e.hop = h.hop WHERE a = 0 GROUP BY 1, 2),
+runs AS (SELECT h.org_id, h.hop, 'runs' AS section, count(*) AS n FROM h JOIN e ON e.org_id = h.org_id AND e.hop = h.hop WHERE a = 1 GROUP BY 1, 2),
+dev AS (SELECT h.org_id, h.hop, 'deviations' AS section, count(*) AS n FROM h JOIN e ON e.org_id = h.org_id WHERE a = 2 GROUP BY 1, 2),
+comp AS (SELECT h.org_id, h.hop, 'company' AS section, least(count(*), 15) AS n FROM h JOIN f ON f.org_id = h.org_id AND f.scope = 'org' AND f.phase IS NULL AND (f.ws IS NULL OR f.ws = h.ws) GROUP BY 1, 2),
+fleet AS (SELECT h.org_id, h.hop, 'fleet' AS section, least(count(*), 10) AS n FROM h JOIN f ON f.scope = 'global' AND (f.hop IS NULL OR f.hop = h.hop) GROUP BY 1, 2)
+SELECT * FROM state UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM scores UNION ALL SELECT * FROM runs UNION ALL SELECT * FROM dev UNION ALL SELECT * FROM comp UNION ALL SELECT * FROM fleet""")
+def k14(spark, sf_dir):
+    from annalist.operators import brief
+
+    s, p, i = F.col("s_suppkey"), F.col("p_partkey"), F.col("event_id")
+    tag = lambda name, n: F.concat(F.lit(name), n.cast("string"))
+    hops = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("org_id"), tag("h", s).alias("hop"), tag("w", s % 3).alias("workspace"), F.array(F.struct(F.concat(tag("t", s % 7), F.lit("*")).alias("id"), F.lit("build").alias("phase")), F.struct(F.lit("t9").alias("id"), F.lit("deploy").alias("phase"))).alias("topics"))
+    part = load(spark, sf_dir, "part").withColumn("org_id", (F.col("p_size") % 25).cast("long"))
+    topic = F.concat(tag("t", p % 11), F.lit("/"), "p_brand")
+    values_ = part.select("org_id", F.concat(F.lit("state:"), topic, F.lit(":k"), p.cast("string")).alias("key"), topic.alias("topic"), p.alias("claim_key"), F.col("p_name").alias("value"), F.lit("2024-01-01").cast("timestamp").alias("valid_at"), F.when(p % 4 == 0, F.lit("2024-01-02").cast("timestamp")).alias("invalid_at"))
+    facts = part.select(p.alias("fact_id"), "org_id", F.when(p % 5 == 0, "global").otherwise("org").alias("scope"), F.when(p % 2 == 0, tag("w", p % 3)).alias("workspace"), F.when(p % 17 == 0, "build").alias("phase"), tag("t", p % 13).alias("topic"), F.col("p_name").alias("fact"), F.lit("endorsed").alias("tier"), F.when(p % 10 == 0, F.array(tag("h", p % 40))).alias("hops"))
+    action = F.when(i % 3 == 0, "hop.eval_scored").when(i % 3 == 1, "run.completed").otherwise("deviation")
+    episodes = load(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25).alias("org_id"), F.col("ts").cast("timestamp").alias("occurred_at"), action.alias("action_type"), tag("h", i % 20).alias("hop"), F.lit("1").alias("version"), F.col("value").alias("score"), F.lit(1).alias("runs"), F.lit(None).cast("string").alias("decision"), F.col("event_type").alias("run_result"), F.lit(None).cast("string").alias("kind"), F.concat(F.lit("kind: "), "event_type", F.lit("\nmore")).alias("value"))
+    got = brief.builder_briefs(hops, values_, facts, episodes, F.lit("2024-01-20").cast("timestamp"), 10)
+    out = None
+    for section, df in got.items():
+        counted = F.sum("n") if section in ("runs", "deviations") else F.count("*")
+        one = df.groupBy("org_id", "hop").agg(counted.cast("long").alias("n")).select("org_id", "hop", F.lit(section).alias("section"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

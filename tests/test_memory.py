@@ -373,3 +373,24 @@ def test_an_item_is_marked_once_all_of_it_has_landed(spark):
     three = collect.collect(changed, two.marks, every, lambda asked: asked)
     assert [(r["key"], r["text"]) for r in three.landed.collect()] == [("b", "new")]
     assert {r["outcome"]: r["n"] for r in three.report.collect()} == {"unchanged": 2, "marked": 1, "unfinished": 0}
+
+
+def test_builder_brief_sections(spark):
+    from annalist.operators import brief
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    hops = spark.createDataFrame([(1, "infra-ro", "w", [("costs/{me}", "build"), ("other", "deploy")]), (2, "x", None, [])], "org_id int, hop string, workspace string, topics array<struct<id:string,phase:string>>")
+    values_ = spark.createDataFrame([(1, "state:costs/daily:k", "costs/daily", "k", "5", day(1), None), (1, "state:costs/daily:k", "costs/daily", "k", "4", day(1), day(2)), (1, "state:other:k", "other", "k", "1", day(1), None), (2, "state:costs/a:k", "costs/a", "k", "1", day(1), None)], "org_id int, key string, topic string, claim_key string, value string, valid_at timestamp, invalid_at timestamp")
+    facts = spark.createDataFrame(
+        [(1, 1, "org", "w", None, "costs/x", "a", "endorsed", None), (2, 1, "org", "v", None, None, "b", None, None), (3, 1, "org", None, "build", None, "c", None, None), (4, 9, "global", None, None, None, "d", None, []), (5, 9, "global", None, None, None, "e", None, ["x"])],
+        "fact_id int, org_id int, scope string, workspace string, phase string, topic string, fact string, tier string, hops array<string>",
+    )
+    episodes = spark.createDataFrame(
+        [(1, 1, day(9), "hop.eval_scored", "infra-ro", "2", 0.5, 3, "adopted", None, None, None), (2, 1, day(9), "run.completed", "infra", None, None, None, None, "success", None, None), (3, 1, day(9), "memory.claim", None, None, None, None, None, None, "deviation", "kind: slow\nx"), (4, 1, day(9), "deviation", None, None, None, None, None, None, None, None), (5, 1, day(1), "deviation", None, None, None, None, None, None, None, None)],
+        "event_id int, org_id int, occurred_at timestamp, action_type string, hop string, version string, score double, runs int, decision string, run_result string, kind string, value string",
+    )
+    got = brief.builder_briefs(hops, values_, facts, episodes, F.lit(day(10)), 5)
+    one = {k: [tuple(r) for r in df.where("org_id = 1 and hop = 'infra-ro'").drop("org_id", "hop").collect()] for k, df in got.items()}
+    assert one["state"] == [("costs/daily", "k", "5", day(1))] and {r[0] for r in one["learnings"]} == {1, 3} and one["scores"] == [(1, "2", 0.5, 3, "adopted")]
+    assert one["runs"] == [("success", 1)] and sorted(one["deviations"]) == [("slow", 1), ("unknown", 1)] and [r[0] for r in one["company"]] == [1] and [r[0] for r in one["fleet"]] == [4]
+    assert {r["fact_id"] for r in got["fleet"].where("hop = 'x'").collect()} == {4, 5}
