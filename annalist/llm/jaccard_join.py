@@ -68,6 +68,8 @@ MEMBER = np.dtype([("node", "<i8"), ("sign", "<u8"), ("size", "<u4"), ("shared",
 TOLD = 200_000
 #: Partners of a set that are tried in the rounds before all that are left.
 LIKELIEST = (1,)
+#: Common groups of a set up to which its rows carry them all, so that a pair is told in the first it shares alone.
+LISTED = 128
 #: Members of a pivot that are checked by one task.
 STAR = 256
 
@@ -439,13 +441,13 @@ def check_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, nameless: b
 
 
 def groups_of(found: DataFrame) -> DataFrame:
-    """(group, node): the sets to be compared with each other.
+    """(group, node, common): the sets to be compared with each other.
 
     Of its common signatures each set leaves out as many as it can spare,
     commonest first; small groups stay as they are, those of equal members once.
     What a set's common signatures are is told to the bucket of its hash.
     """
-    small = found.where("kind = 1").groupBy("a").agg(F.first("members").alias("members")).select(F.col("a").alias("group"), F.explode("members").alias("node"))
+    small = found.where("kind = 1").groupBy("a").agg(F.first("members").alias("members")).select(F.col("a").alias("group"), F.explode("members").alias("node"), F.lit(False).alias("common"))
 
     def spare(parts: list[bytes]) -> pa.RecordBatch:
         told = np.frombuffer(b"".join(parts), MEMBER)
@@ -473,7 +475,7 @@ def groups_of(found: DataFrame) -> DataFrame:
 
     dealt = found.where("kind = 3").select("round", "a", "data").repartition(max(shuffle_partitions(found.sparkSession), 1), "round", "a")
     kept = dealt.sortWithinPartitions("round", "a").mapInArrow(run, "group bigint, node bigint")
-    return small.unionByName(kept)
+    return small.unionByName(kept.withColumn("common", F.lit(True)))
 
 
 def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
@@ -481,16 +483,18 @@ def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, most: i
 
     A group is cut into blocks by hash; every two of its blocks meet in a task.
     ``most``: only so many of the likeliest partners in a task, and only of
-    each node that is still alone.
+    each node that is still alone.  Near copies share many common groups; a pair
+    of them is told in the first of these alone.
     """
-    members = groups.join(labels, "node", "left").withColumn("single", F.col("root").isNull()).withColumn("root", F.coalesce("root", "node"))
+    listed = groups.where("common").groupBy("node").agg(F.array_sort(F.collect_list("group")).alias("common_groups")).where(F.size("common_groups").between(2, LISTED))
+    members = groups.join(listed, "node", "left").withColumn("common_groups", F.when(F.col("common"), F.col("common_groups"))).drop("common").join(labels, "node", "left").withColumn("single", F.col("root").isNull()).withColumn("root", F.coalesce("root", "node"))
     mixed = members.groupBy("group").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     blocks = F.ceil(F.col("size") / BLOCK)
     placed = members.join(mixed.select("group", blocks.alias("blocks")), "group").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     sent = placed.join(nodes.select("node", "n_shingles", "sketch"), "node").select(
-        "group", "node", "root", "single", "n_shingles", "sketch", "mine", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+        "group", "node", "root", "single", "n_shingles", "sketch", "common_groups", "mine", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
     )
-    keyed = sent.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "n_shingles", "sketch", "single")
+    keyed = sent.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "n_shingles", "sketch", "single", "common_groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -507,7 +511,7 @@ def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, most: i
                     yield pa.record_batch([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("group", "i", "j", "mine", "node", "root", "n_shingles", "sketch", "single")), strict=True):
+            for row in zip(*(batch[c].to_pylist() for c in ("group", "i", "j", "mine", "node", "root", "n_shingles", "sketch", "single", "common_groups")), strict=True):
                 if row[:3] != now:
                     if len(held) > 1:
                         yield from fresh(held)
@@ -530,6 +534,11 @@ def pairs_across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, most: i
         apart = np.concatenate([bits_apart(grid[x[c : c + COMPARED]], grid[y[c : c + COMPARED]]) for c in cuts] or [np.zeros(0, np.int64)])
         near = apart <= most_apart(size[x], size[y])
         x, y, apart = x[near], y[near], apart[near]
+        lists = [r[9] for r in rows]
+        if any(lists):
+            held = [m and set(m) for m in lists]
+            first = np.array([not lists[i] or not held[k] or next(g for g in lists[i] if g in held[k]) == rows[0][0] for i, k in zip(x.tolist(), y.tolist(), strict=True)], bool)
+            x, y, apart = x[first], y[first], apart[first]
         if most is not None and len(x):
             x, y, apart = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([apart, apart])
             alone = single[x]

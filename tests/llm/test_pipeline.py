@@ -76,3 +76,42 @@ def test_run_is_registered(spark):
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries()
+
+
+def odd_documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stages_take_nulls_empties_repeats_and_very_long_texts(spark):
+    """What each stage does with them: nothing is lost but toxic rows, copies and contaminated rows; rows without shingles stay."""
+    import corpus_pipeline
+    from annalist.llm.common import materialise, table
+
+    base = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").orderBy("doc_id").limit(60).collect()]
+    long = "a quiet river runs under the old stone bridge near the small green town " * 15_000
+    odd = [(900_001, None), (900_002, ""), (900_003, " \n\t "), (900_004, "one two"), (None, None), (None, "lonely words of no name at all here"), (900_005, long), (900_006, long), base[0], base[0]]
+    docs = materialise(odd_documents(spark, base + odd))
+    kept = docs
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialise(stage(spark, kept, SF))
+        assert kept.columns == COLUMNS, name
+        seen.append([(r["doc_id"], r["text"]) for r in kept.collect()])
+    for rows in seen:
+        held = collections.Counter(rows)
+        assert all(held[x] for x in [(900_001, None), (900_002, ""), (900_003, " \n\t "), (900_004, "one two"), (None, None), (None, "lonely words of no name at all here")])
+    assert sum(i in (900_005, 900_006) for i, _ in seen[0]) == 2 and [i for i, _ in seen[1] if i in (900_005, 900_006)] == [900_005]
+    assert all(collections.Counter(x)[base[0]] <= 1 for x in seen[1:])
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
+    assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == collections.Counter(i for i, _ in seen[-1])
+    assert all(0 < r["length"] <= 2048 for r in packed)
+
+
+def test_stages_of_an_empty_table(spark):
+    import corpus_pipeline
+    from annalist.llm.common import materialise
+
+    docs = odd_documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF))
+        assert docs.count() == 0
