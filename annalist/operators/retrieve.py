@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from annalist.functions.scores import rrf_weight
 from annalist.functions.text import chunk_fixed, query_terms, tokens
 from annalist.operators.vectors import exact_topk
+from annalist.sources.shared import keep
+
+#: Bytes of asked terms up to which they are sent to every task.
+BROADCAST_BYTES = 16_000_000
 
 
 def chunks_of(docs: DataFrame, size: int = 1000) -> DataFrame:
@@ -33,16 +37,22 @@ def terms_of_queries(queries: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def small(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``, to be broadcast if its texts are known to be few bytes; otherwise joins shuffle it."""
+    size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(32)))
+    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = 60) -> DataFrame:
     """query_id, doc_id, ordinal, score, rank: the sum of idf over question terms present.
 
-    The index is cut to the terms that are asked before anything is counted.
+    The index is cut to the terms that are asked as it is made, and written once.
     """
-    asked = terms_of_queries(queries)
-    index = inverted_index(chunks).join(asked.select("term").distinct(), "term")
-    n = chunks.agg(F.count("*"))
-    weights = idf(index, n)
-    hits = index.join(asked, "term").join(weights, "term")
+    asked = keep(terms_of_queries(queries))
+    terms = small(keep(asked.select("term").distinct()), ["term"])
+    index = keep(inverted_index(chunks).join(terms, "term"))
+    weights = idf(index, chunks.agg(F.count("*")))
+    hits = index.join(asked.join(weights.select("term", "idf"), "term"), "term")
     scores = hits.groupBy("query_id", "doc_id", "ordinal").agg(F.round(F.sum(F.col("times") * F.col("idf")), 6).alias("score"))
     return top(scores, "query_id", [F.desc("score"), "doc_id", "ordinal"], k)
 
