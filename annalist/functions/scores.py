@@ -20,6 +20,7 @@ def recency(valid_at: Column, now: Column) -> Column:
     return F.when(valid_at.isNull(), 0.5).otherwise(F.exp(-F.greatest(days_between(now, valid_at), F.lit(0.0)) / 365))
 
 
+# Fixed values of the functions below: half-lives in days and their floor, places and weights of fusion, tiers of trust.
 def recency_factor(valid_at: Column, now: Column, half_life: float = 180, floor: float = 0.35) -> Column:
     """Halved every ``half_life`` days, never below ``floor``; 1 without a date."""
     return F.coalesce(F.greatest(F.lit(floor), F.pow(F.lit(2.0), -F.greatest(days_between(now, valid_at), F.lit(0.0)) / half_life)), F.lit(1.0))
