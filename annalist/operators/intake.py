@@ -141,3 +141,13 @@ def profile(facts: DataFrame, acts: DataFrame, learnings: int = 10, recent: int
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c])
     a, b = known.groupBy("caller_id").agg(in_order("fact").alias("learnings")), last.groupBy("caller_id").agg(in_order("action").alias("recent"))
     return a.join(b, "caller_id", "full")
+
+
+def json_lines(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """(key..., line): each row as a line of JSON, columns in their order; written with ``write.text`` it is a JSONL file."""
+    return df.select(*key, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def json_summary(df: DataFrame, figures: dict[str, Column]) -> DataFrame:
+    """One JSON object of named aggregates over all rows."""
+    return df.agg(*[c.alias(k) for k, c in figures.items()]).select(F.to_json(F.struct(*figures), {"ignoreNullFields": "false"}).alias("summary"))

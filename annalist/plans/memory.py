@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions.turns import chunk_turns
 from annalist.operators import resolve, retrieve, search, values, whole
-from annalist.plans.queries import LEXICAL, lexical, load, questions, register, streamed, transcripts
+from annalist.plans.queries import LEXICAL, RUNS, lexical, load, observations, questions, register, streamed, transcripts
 from annalist.sources import collect, guarded, qa, versions
 from annalist.sources.shared import keep, shared_folder
 
@@ -290,3 +290,42 @@ def k14(spark, sf_dir):
         one = df.groupBy("org_id", "hop").agg(counted.cast("long").alias("n")).select("org_id", "hop", F.lit(section).alias("section"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream that is stopped half-way leaves them: two files, a run, two more, and a run from the same checkpoint."""
+    from annalist.streaming.streams import read_files, run_fold
+
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    events = load(spark, sf_dir, "events")
+    for half in range(2):
+        events.where(F.pmod(F.hash("event_id"), F.lit(2)) == half).repartition(2, F.hash("event_id")).write.mode("append").parquet(f"{base}/in")
+        run_fold(read_files(spark, f"{base}/in", events.schema), f"{base}/rows", f"{base}/checkpoint", lambda batch: batch).awaitTermination()
+    return spark.read.parquet(f"{base}/rows").select(*events.columns)
+
+
+@register("Z6_tail_after_restart", "SELECT event_id, user_id, event_type, value FROM events")
+def z6(spark, sf_dir):
+    return tailed(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
+
+
+@register("Z5_late_rows", f"{RUNS} SELECT user_id, dst, valid_at, invalid_at, event_id FROM runs")
+def z5(spark, sf_dir):
+    """Half of all events come late by as much as the whole span; every interval takes its place in world time."""
+    from annalist.streaming.streams import intervals_of
+
+    return intervals_of(observations(tailed(spark, sf_dir))).select("user_id", "dst", "valid_at", "invalid_at", "event_id")
+
+
+@register("S28_json_lines", "SELECT o_custkey, to_json({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus, 'o_orderpriority': o_orderpriority}) AS line FROM orders")
+def s28j(spark, sf_dir):
+    from annalist.operators.intake import json_lines
+
+    return json_lines(load(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+
+
+@register("S28_json_summary", "SELECT to_json({'n': count(*), 'first': min(o_orderkey), 'last': max(o_orderkey)}) AS summary FROM orders")
+def s28s(spark, sf_dir):
+    from annalist.operators.intake import json_summary
+
+    return json_summary(load(spark, sf_dir, "orders"), {"n": F.count("*"), "first": F.min("o_orderkey"), "last": F.max("o_orderkey")})
