@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import retrieve
+from annalist.operators import retrieve, search
 
 WORDS = ["red", "gear", "small", "hot", "ring", "rod"]
 
@@ -62,3 +62,14 @@ def test_copies_are_not_compared(spark):
     items = spark.range(1000).select(F.col("id").alias("item_id"), F.lit("hot rod").alias("title"), F.lit("x").alias("path"), F.lit(1).alias("modified_at"), F.lit("listed").alias("status"))
     made = retrieve.cold_candidates(q, items)
     assert made.count() == 5000 and written(spark, made) <= 5000
+
+
+def test_leading_value_over_classes(spark, tables):
+    items, asked, df, q = tables
+    facts = df.select(F.col("id").alias("fact_id"), F.col("size").alias("rank"), F.col("flag").alias("keyed"), F.concat_ws("/", "name", "brand").alias("anchor"))
+
+    def key(t, i):
+        n = len(words(t) & (words(i[1]) | {i[2].lower()}))
+        return (-n, i[3], i[0]) if n >= (1 if i[4] else 2) else None
+
+    assert {(r["query_id"], 1, -r["overlap"], r["fact_id"]) for r in search.leading_value(q, facts).collect()} == {(a, b, c, e) for a, b, c, _, e in best(asked, items, key, 1)}
