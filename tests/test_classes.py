@@ -73,3 +73,15 @@ def test_leading_value_over_classes(spark, tables):
         return (-n, i[3], i[0]) if n >= (1 if i[4] else 2) else None
 
     assert {(r["query_id"], 1, -r["overlap"], r["fact_id"]) for r in search.leading_value(q, facts).collect()} == {(a, b, c, e) for a, b, c, _, e in best(asked, items, key, 1)}
+
+
+def test_node_lexical_over_classes(spark, tables):
+    items, asked, df, q = tables
+    nodes = df.select(F.col("id").alias("node_id"), "name", F.lit(None).cast("string").alias("summary"), F.col("brand").alias("key"))
+
+    def key(t, i):
+        a, b = set(t.lower().split()), set(i[1].split()) | set(i[2].lower().split("#"))
+        t = t.lower().strip()
+        return (-round(len(a & b) / len(a) + (0.5 if i[2].lower().startswith(t) or t in i[1] else 0), 6), i[0]) if a & b else None
+
+    assert {(r["query_id"], r["rank"], -r["score"], r["node_id"]) for r in search.node_lexical(q, nodes, 7).collect()} == best(asked, items, key, 7)
