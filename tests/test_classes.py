@@ -64,6 +64,14 @@ def test_copies_are_not_compared(spark):
     assert made.count() == 5000 and written(spark, made) <= 5000
 
 
+def test_title_leg_over_classes(spark, tables):
+    items, asked, df, q = tables
+    twice = df.select(F.col("id").alias("doc_id"), F.col("name").alias("title")).unionByName(df.where("id = 7").select(F.col("id").alias("doc_id"), F.lit("red gear hot").alias("title")))
+    more = [(7, "red gear hot " + next(i[1] for i in items if i[0] == 7)), *((i[0], i[1]) for i in items if i[0] != 7)]
+    key = lambda t, i: (i[0],) if words(t) & words(i[1]) else None
+    assert {(r["query_id"], r["rank"], r["doc_id"]) for r in retrieve.title_leg(q, twice, 6).collect()} == best(asked, more, key, 6)
+
+
 def test_leading_value_over_classes(spark, tables):
     items, asked, df, q = tables
     facts = df.select(F.col("id").alias("fact_id"), F.col("size").alias("rank"), F.col("flag").alias("keyed"), F.concat_ws("/", "name", "brand").alias("anchor"))
