@@ -1,11 +1,12 @@
 """Rankings by shared words over classes of equal rows, passages scored inside tasks, briefs by topics: against plain versions."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import retrieve, search
+from annalist.operators import brief, retrieve, search
 
 WORDS = ["red", "gear", "small", "hot", "ring", "rod"]
 
@@ -93,3 +94,17 @@ def test_node_lexical_over_classes(spark, tables):
         return (-round(len(a & b) / len(a) + (0.5 if i[2].lower().startswith(t) or t in i[1] else 0), 6), i[0]) if a & b else None
 
     assert {(r["query_id"], r["rank"], -r["score"], r["node_id"]) for r in search.node_lexical(q, nodes, 7).collect()} == best(asked, items, key, 7)
+
+
+def test_briefs_by_topics(spark):
+    hops = spark.createDataFrame([(1, f"h{i}", "w", [(f"t{i % 2}*", "build")]) for i in range(6)] + [(1, "bare", "w", [])], "org_id int, hop string, workspace string, topics array<struct<id:string,phase:string>>")
+    values = spark.createDataFrame([(1, f"state:t{i % 3}/x:{i}", f"t{i % 3}/x", str(i), "v", None, None) for i in range(9)], "org_id int, key string, topic string, claim_key string, value string, valid_at timestamp, invalid_at timestamp")
+    facts = spark.createDataFrame([(i, 1, "org", None, "build" if i == 8 else None, f"t{i % 3}", "f", "endorsed", None) for i in range(9)], "fact_id int, org_id int, scope string, workspace string, phase string, topic string, fact string, tier string, hops array<string>")
+    episodes = spark.createDataFrame([], "event_id int, org_id int, occurred_at timestamp, action_type string, hop string, version string, score double, runs int, decision string, run_result string, kind string, value string")
+    at = F.lit(dt.datetime(2024, 1, 10))
+    grouped, each = brief.builder_briefs(hops, values, facts, episodes, at, 5, grouped=True), brief.builder_briefs(hops, values, facts, episodes, at, 5)
+    assert grouped["members"].count() == 7 and grouped["state"].count() == 6 and grouped["learnings"].count() == 9
+    for name, of in (("state", "claim_key"), ("learnings", "fact_id")):
+        dealt = grouped[name].join(grouped["members"], ["org_id", "topics"])
+        assert sorted((r["hop"], r[of]) for r in dealt.collect()) == sorted((r["hop"], r[of]) for r in each[name].collect())
+    assert {r["fact_id"] for r in each["learnings"].where("hop = 'bare'").collect()} == {8}
