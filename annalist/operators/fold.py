@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from annalist.functions.text import pii_kinds, redact, slug
 from annalist.operators.governance import daily_budget, drop_reason, resolve_consent
+from annalist.operators.retrieve import small
+from annalist.sources.shared import keep
 
 
 def fold_gate(episodes: DataFrame, consent: DataFrame, deny: Column, allow: Column, floor: float, cap: int) -> DataFrame:
@@ -77,17 +79,18 @@ def subject_words(subject: Column) -> Column:
 
 def known_subjects(states: DataFrame, anchors: DataFrame, least: float = 0.5) -> DataFrame:
     """The known anchor of each subject: one whose words hold the subject's or are held by them, else the best Jaccard
-    of ``least`` or more, else the subject's own slug.  Met through shared words; ties go to the least anchor."""
-    own = states.select("state_id", "subject", subject_words(F.col("subject")).alias("_own"))
+    of ``least`` or more, else the subject's own slug.  Met through shared words, each subject once; ties go to the least anchor."""
+    own = states.select("subject").distinct().select("subject", subject_words(F.col("subject")).alias("_own"))
     known = anchors.select("anchor", subject_words(F.col("anchor")).alias("_known"))
-    met = own.select("state_id", F.size("_own").alias("_n"), F.explode("_own").alias("word")).join(known.select("anchor", F.size("_known").alias("_m"), F.explode("_known").alias("word")), "word")
-    both = met.groupBy("state_id", "anchor", "_n", "_m").agg(F.count("*").alias("_both"))
+    met = own.select("subject", F.size("_own").alias("_n"), F.explode("_own").alias("word")).join(known.select("anchor", F.size("_known").alias("_m"), F.explode("_known").alias("word")), "word")
+    both = met.groupBy("subject", "anchor", "_n", "_m").agg(F.count("*").alias("_both"))
     inside = F.col("_both") == F.least("_n", "_m")
     jaccard = F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))
     fit = both.where(inside | (jaccard >= least))
-    order = Window.partitionBy("state_id").orderBy(F.desc(inside), F.desc(F.when(inside, 1.0).otherwise(jaccard)), "anchor")
-    best = fit.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("state_id", "anchor")
-    return states.join(best, "state_id", "left").withColumn("anchor", F.coalesce("anchor", slug(F.col("subject"))))
+    order = Window.partitionBy("subject").orderBy(F.desc(inside), F.desc(F.when(inside, 1.0).otherwise(jaccard)), "anchor")
+    best = fit.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("subject", "anchor")
+    met = states.join(small(keep(best), ["subject", "anchor"]), "subject", "left")
+    return met.select(*states.columns, F.coalesce("anchor", slug(F.col("subject"))).alias("anchor"))
 
 
 def valid_states(candidates: DataFrame, kinds: tuple[str, ...] = ("state", "preference", "record"), most: int = 60, gate: str = ".") -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import brief, retrieve, search
+from annalist.operators import brief, fold, retrieve, search
 
 WORDS = ["red", "gear", "small", "hot", "ring", "rod"]
 
@@ -96,6 +96,14 @@ def test_node_lexical_over_classes(spark, tables):
     assert {(r["query_id"], r["rank"], -r["score"], r["node_id"]) for r in search.node_lexical(q, nodes, 7).collect()} == best(asked, items, key, 7)
 
 
+def test_known_subjects_asks_each_subject_once(spark):
+    """Subjects that are told a thousand times meet the anchors once."""
+    states = spark.range(1000).select(F.col("id").alias("state_id"), F.when(F.col("id") % 2 == 0, "hot ring").when(F.col("id") == 1, F.lit(None)).otherwise("blue").alias("subject"))
+    anchors = spark.createDataFrame([("hot",), ("hot rod",), ("ring",)], "anchor string")
+    made = fold.known_subjects(states, anchors)
+    assert made.columns == ["state_id", "subject", "anchor"] and {(r["subject"], r["anchor"]) for r in made.collect()} == {("hot ring", "hot"), (None, "fact"), ("blue", "blue")} and written(spark, made) <= 1000
+
+
 def test_briefs_by_topics(spark):
     hops = spark.createDataFrame([(1, f"h{i}", "w", [(f"t{i % 2}*", "build")]) for i in range(6)] + [(1, "bare", "w", [])], "org_id int, hop string, workspace string, topics array<struct<id:string,phase:string>>")
     values = spark.createDataFrame([(1, f"state:t{i % 3}/x:{i}", f"t{i % 3}/x", str(i), "v", None, None) for i in range(9)], "org_id int, key string, topic string, claim_key string, value string, valid_at timestamp, invalid_at timestamp")
