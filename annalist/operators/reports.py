@@ -116,9 +116,11 @@ def close_threads(bullets: DataFrame, stale: DataFrame, now: Column, days: int =
     """
     each = bullets.select("note_id", "bullet", F.explode("citations").alias("c")).select("note_id", "bullet", "c.*")
     old = F.col("at").isNull() | (F.col("at") < now - F.make_interval(days=F.lit(days)))
-    gone = each.join(stale.select("id").distinct().withColumn("_stale", F.lit(True)), "id", "left")
-    over = F.when(F.col("kind") == "run", old).otherwise(F.col("_stale").isNotNull())
-    closed = gone.groupBy("note_id", "bullet").agg(F.bool_and(over).alias("closed"))
+    # a run's pointer is judged by its time: many may have one id, and none is met by it
+    is_run = F.coalesce(F.col("kind") == "run", F.lit(False))
+    runs = each.where(is_run).select("note_id", "bullet", old.alias("_over"))
+    gone = each.where(~is_run).join(stale.select("id").distinct().withColumn("_stale", F.lit(True)), "id", "left")
+    closed = runs.unionByName(gone.select("note_id", "bullet", F.col("_stale").isNotNull().alias("_over"))).groupBy("note_id", "bullet").agg(F.bool_and("_over").alias("closed"))
     return bullets.join(closed, ["note_id", "bullet"], "left").fillna(False, ["closed"])
 
 

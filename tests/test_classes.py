@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import brief, fold, retrieve, search
+from annalist.operators import brief, fold, reports, retrieve, search
 
 WORDS = ["red", "gear", "small", "hot", "ring", "rod"]
 
@@ -104,6 +104,19 @@ def test_known_subjects_asks_each_subject_once(spark):
     assert made.columns == ["state_id", "subject", "anchor"] and {(r["subject"], r["anchor"]) for r in made.collect()} == {("hot ring", "hot"), (None, "fact"), ("blue", "blue")} and written(spark, made) <= 1000
 
 
+def test_run_pointers_are_not_met_by_id(spark):
+    """A thousand bullets cite one run: its id is no join key."""
+    now = F.lit(dt.datetime(2024, 2, 1))
+    cite = lambda kind, i, at: F.struct(F.lit(kind).alias("kind"), i.alias("id"), at.alias("at"))
+    none = F.lit(None).cast("timestamp")
+    odd = F.when(F.col("id") % 2 == 1, now)
+    bullets = spark.range(1000).select(F.col("id").alias("note_id"), F.lit(0).alias("bullet"), F.array(cite("edge", F.col("id").cast("string"), none), cite("run", F.lit("r"), odd)).alias("citations"))
+    stale = spark.range(0, 1000, 4).select(F.col("id").cast("string").alias("id")).unionByName(spark.createDataFrame([("r",)], "id string"))
+    made = reports.close_threads(bullets, stale, now)
+    assert {r["note_id"] for r in made.where("closed").collect()} == set(range(0, 1000, 4))
+    assert "kind" in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Join LeftOuter") == 2 and "Union" in plan
+
+
 def test_briefs_by_topics(spark):
     hops = spark.createDataFrame([(1, f"h{i}", "w", [(f"t{i % 2}*", "build")]) for i in range(6)] + [(1, "bare", "w", [])], "org_id int, hop string, workspace string, topics array<struct<id:string,phase:string>>")
     values = spark.createDataFrame([(1, f"state:t{i % 3}/x:{i}", f"t{i % 3}/x", str(i), "v", None, None) for i in range(9)], "org_id int, key string, topic string, claim_key string, value string, valid_at timestamp, invalid_at timestamp")
