@@ -1,12 +1,14 @@
 """Rankings by shared words over classes of equal rows, passages scored inside tasks, briefs by topics: against plain versions."""
 
 import datetime as dt
+import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import brief, fold, reports, retrieve, search
+from annalist.operators import brief, fold, lexical, reports, retrieve, search
 
 WORDS = ["red", "gear", "small", "hot", "ring", "rod"]
 
@@ -129,3 +131,28 @@ def test_briefs_by_topics(spark):
         dealt = grouped[name].join(grouped["members"], ["org_id", "topics"])
         assert sorted((r["hop"], r[of]) for r in dealt.collect()) == sorted((r["hop"], r[of]) for r in each[name].collect())
     assert {r["fact_id"] for r in each["learnings"].where("hop = 'bare'").collect()} == {8}
+
+
+@pytest.mark.parametrize("k", [1, 3, 60])
+def test_passages_are_scored_in_tasks_as_by_joins(spark, k, monkeypatch):
+    draw = random.Random(2)
+    pool = ["red", "gear", "Small", "hot_1", "ab", "ring", "éclair", "the", "K"]
+    docs = [(i, " ".join(draw.choice(pool) for _ in range(draw.choice([0, 1, 5, 400])))) for i in range(60)] + [(100 + i, "red gear ring") for i in range(30)] + [(200, None)]
+    chunks = retrieve.chunks_of(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    q = spark.createDataFrame([(i, " ".join(draw.choice(pool) for _ in range(4))) for i in range(12)] + [(90, "absent"), (91, "")], "query_id int, question string")
+    monkeypatch.setattr(lexical, "QUERIES", 5)
+    monkeypatch.setattr(lexical, "ROWS", 7)
+    told = retrieve.lexical_topk(q, chunks, k)
+    assert lexical.best_passages(retrieve.terms_of_queries(q), chunks, k).count() <= chunks.rdd.getNumPartitions() * 14 * k
+    monkeypatch.setattr(retrieve, "BROADCAST_BYTES", -1)
+    joined = retrieve.lexical_topk(q, chunks, k)
+    assert told.schema.simpleString() == joined.schema.simpleString()
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, joined.collect())) != []
+
+
+def test_best_of_a_task_keeps_ties_in_order():
+    import numpy as np
+
+    batch = lambda ids: pa.RecordBatch.from_arrays([pa.array(ids), pa.array([0] * len(ids), pa.int32()), pa.array([[0]] * len(ids), pa.list_(pa.int32()))], ["doc_id", "ordinal", "terms"])
+    told = list(lexical.told_best(iter([batch([9, 8, 7]), batch([]), batch([3, 12])]), (np.array([0]), np.array([0]), np.array([0.5])), 1, 1, 2))
+    assert [t.column("doc_id").to_pylist() for t in told] == [[3, 7]] and list(itertools.chain(*(t.column("score").to_pylist() for t in told))) == [0.5, 0.5]
