@@ -188,11 +188,11 @@ def current_values(edges: DataFrame, prefixes: list[str]) -> DataFrame:
 def inject_values(queries: DataFrame, anchors: DataFrame, least: int = 2) -> DataFrame:
     """Anchors that share ``least`` tokens or more with a question, with score 1."""
     from annalist.functions.text import tokens
+    from annalist.operators.classes import pairs_by_words
 
-    words = anchors.select("anchor_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("anchor_key"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))).alias("term"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term"))
-    met = words.join(asked, "term").groupBy("query_id", "anchor_id").agg(F.count("*").alias("overlap"))
-    return met.where(F.col("overlap") >= least).withColumn("score", F.lit(1.0))
+    words = anchors.select(F.col("anchor_id").alias("_id"), F.array_distinct(F.filter(F.split(F.lower("anchor_key"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)).alias("_words"))
+    met = pairs_by_words(queries.select("query_id", tokens(F.col("question")).alias("_words")), words, F.col("_both") >= least)
+    return met.select("query_id", F.col("_id").alias("anchor_id"), F.col("_both").alias("overlap"), F.lit(1.0).alias("score"))
 
 
 def latest_decisions(proposals: DataFrame, decisions: DataFrame) -> DataFrame:

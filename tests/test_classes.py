@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import brief, fold, lexical, reports, retrieve, search
+from annalist.operators import brief, fold, graph, lexical, reports, retrieve, search
 
 WORDS = ["red", "gear", "small", "hot", "ring", "rod"]
 
@@ -98,6 +98,13 @@ def test_node_lexical_over_classes(spark, tables):
     assert {(r["query_id"], r["rank"], -r["score"], r["node_id"]) for r in search.node_lexical(q, nodes, 7).collect()} == best(asked, items, key, 7)
 
 
+def test_inject_values_over_classes(spark, tables):
+    items, asked, df, q = tables
+    got = graph.inject_values(q, df.select(F.col("id").alias("anchor_id"), F.col("name").alias("anchor_key"))).collect()
+    want = {(a, i[0], n) for a, t in asked for i in items if (n := len(words(t) & words(i[1]))) >= 2}
+    assert len(got) == len(want) and {(r["query_id"], r["anchor_id"], r["overlap"]) for r in got} == want
+
+
 def test_known_subjects_asks_each_subject_once(spark):
     """Subjects that are told a thousand times meet the anchors once."""
     states = spark.range(1000).select(F.col("id").alias("state_id"), F.when(F.col("id") % 2 == 0, "hot ring").when(F.col("id") == 1, F.lit(None)).otherwise("blue").alias("subject"))
