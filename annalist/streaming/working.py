@@ -40,8 +40,8 @@ class WorkingMemory(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802 N803
         for frame in rows:
             at = frame["at"].astype("datetime64[us]").astype("int64")
-            for t in at.unique():
-                self.handle.registerTimer(-(-int(t) // 1000))
+            # one timer, for the first of these: it takes all that are due and sets the next
+            self.handle.registerTimer(-(-int(at.min()) // 1000))
             self.ahead.appendList([(int(t), bool(c)) for t, c in zip(at, frame["committed"], strict=True)])
         yield from ()
 
@@ -51,6 +51,8 @@ class WorkingMemory(StatefulProcessor):
         due, later = [x for x in waiting if x[0] <= passed], [x for x in waiting if x[0] > passed]
         if due:
             self.ahead.put(later) if later else self.ahead.clear()
+        if later:
+            self.handle.registerTimer(-(-later[0][0] // 1000))
         began, promoted = self.life.get() if self.life.exists() else (None, False)
         told = []
         for at, committed in due:

@@ -163,3 +163,34 @@ def test_best_of_a_task_keeps_ties_in_order():
     batch = lambda ids: pa.RecordBatch.from_arrays([pa.array(ids), pa.array([0] * len(ids), pa.int32()), pa.array([[0]] * len(ids), pa.list_(pa.int32()))], ["doc_id", "ordinal", "terms"])
     told = list(lexical.told_best(iter([batch([9, 8, 7]), batch([]), batch([3, 12])]), (np.array([0]), np.array([0]), np.array([0.5])), 1, 1, 2))
     assert [t.column("doc_id").to_pylist() for t in told] == [[3, 7]] and list(itertools.chain(*(t.column("score").to_pylist() for t in told))) == [0.5, 0.5]
+
+
+def test_one_timer_for_all_that_waits():
+    """A memory's observations set one timer and not one each; what the watermark has not passed sets the next."""
+    import pandas as pd
+
+    from annalist.streaming.working import WorkingMemory
+
+    class Held:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        put = update = lambda self, x: setattr(self, "value", x)
+        clear = lambda self: setattr(self, "value", None)
+        appendList = lambda self, x: setattr(self, "value", [*(self.value or []), *x])  # noqa: E731, N815
+
+    class Handle:
+        timers: list = []
+        registerTimer = lambda self, t: self.timers.append(t)  # noqa: E731, N815
+        getListState = getValueState = lambda self, *a: Held()  # noqa: E731, N815
+
+    class At:
+        getCurrentWatermarkInMs = lambda self: 86_400_000 * 4  # noqa: E731, N815
+
+    memory, handle = WorkingMemory(), Handle()
+    memory.init(handle)
+    at = pd.to_datetime([3, 5, 1, 2, 6], unit="D")
+    assert list(memory.handleInputRows(("k",), iter([pd.DataFrame({"at": at, "committed": [False] * 5})]), None)) == []
+    assert handle.timers == [86_400_000]
+    assert list(memory.handleExpiredTimer(("k",), At(), None)) == []
+    assert handle.timers[1] == 86_400_000 * 5 and memory.life.get() == (86_400_000_000, False) and len(memory.ahead.get()) == 2
