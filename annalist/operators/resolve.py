@@ -7,8 +7,9 @@ are one statement: it goes where it went the first time.
 
 Candidates are those that share a bucket: the signs of a vector on some random
 hyperplanes, in each of several tables.  Their number follows from the count of
-vectors (buckets stay small) and from the share of near pairs that is to be met
-(``RECALL``, for pairs just at the threshold).  Who is a representative depends
+vectors of a group (buckets stay small, but large enough that few tables do) and
+from the share of near pairs that is to be met (``RECALL``, for pairs just at
+the threshold).  Who is a representative depends
 on who came before, so it is settled in rounds, in each for all that have no
 undecided earlier candidate nearby; those near one of the new representatives
 are settled as well.  Every similarity is computed exactly.  What a task tells
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from annalist.sources.shared import keep
 
-THRESHOLD, RECALL = 0.86, 0.97
-#: Vectors of a bucket on average, and rows from which a bucket is split by further hyperplanes.
-BUCKET, LARGE = 32, 50_000
+THRESHOLD, RECALL = 0.86, 0.99
+#: Vectors of a row's bucket on average, and rows from which a bucket is split by further hyperplanes.
+BUCKET, LARGE = 512, 50_000
 #: Hyperplanes that split large buckets.
 FURTHER = 12
 #: Rows that are compared at once.
@@ -37,12 +38,18 @@ BLOCK = 1024
 
 
 def table_sizes(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(hyperplanes of a table, tables) for ``n`` vectors."""
+    """(hyperplanes of a table, tables) for ``n`` vectors of a group."""
     planes = min(40, max(6, math.ceil(math.log2(max(n, 1) / BUCKET + 1))))
     same = (1 - math.acos(threshold) / math.pi) ** planes
     return planes, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
+def vectors_of_a_group(vectors: DataFrame) -> int:
+    """How many vectors the group of a vector has on average, itself included: what buckets are made of."""
+    of_groups = vectors.groupBy("group").count()
+    return math.ceil(of_groups.agg(F.sum(F.col("count").cast("double") * F.col("count")) / F.sum("count")).first()[0] or 0)
+
+
 def matrix(vectors: pa.Array) -> np.ndarray:
     """Lists of equal length as rows, straight from their buffer, of length one."""
     x = np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1)
@@ -161,7 +168,7 @@ def resolve_semantic(facts: DataFrame, groups: Sequence[str] = (), threshold: fl
     first = F.min(F.struct("at", "id"))
     vectors = keep(firm.groupBy(key.alias("group"), F.col("embedding").alias("vec")).agg(first.alias("f")).select(F.col("f.id").alias("id"), F.col("f.at").alias("at"), "group", "vec"))
     dims = [r[0] for r in vectors.select(F.size("vec")).distinct().collect()]
-    planes, tables = table_sizes(vectors.count(), threshold, recall)
+    planes, tables = table_sizes(vectors_of_a_group(vectors), threshold, recall)
     parts = [with_buckets(vectors.where(F.size("vec") == d), d, planes, tables) for d in dims]
     if not parts:
         return facts.select("*", F.col("id").alias("representative"), F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("is_new"))
