@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.scores import recency
 from annalist.functions.text import STOP_TERMS, pii_kinds
+from annalist.sources.shared import told_once
 
+WORD = re.compile("[a-zA-Z][a-zA-Z0-9_-]{3,}")
 SCOPE_RANK = {"global": 0, "org": 1, "team": 2, "service": 3, "repo": 4, "agent": 5, "user": 6}
 
 
@@ -82,8 +89,35 @@ def daily_budget(docs: DataFrame, key: list[str], cap: Column, at: str = "ingest
 
 
 def leading_terms(docs: DataFrame, n: int = 24) -> DataFrame:
-    """(doc_id, term, times, pos): the commonest terms of a text, ties by first appearance."""
-    words = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-zA-Z][a-zA-Z0-9_-]{3,}"), 0), F.lower)
+    """(doc_id, term, times, pos): the commonest terms of a text, ties by first appearance.
+
+    A text is counted where it lies; only ids told in several rows are grouped.
+    """
+    once, several = told_once(docs.select("doc_id", "text"), "doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    lead = once.mapInArrow(lambda b: told_leading(b, n), f"doc_id {kind}, term string, times long, pos int, rank int")
+    return lead if several is None else lead.unionByName(leading_of_groups(several, n))
+
+
+def told_leading(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, told = [], []
+        for row, text in enumerate(batch.column("text")):
+            words = [w.lower() for w in WORD.findall(text.as_py() or "")]
+            counts = Counter(words)  # in order of first appearance, which sorting keeps among equals
+            for t in STOP_TERMS:
+                counts.pop(t, None)
+            lead = sorted(counts.items(), key=lambda c: -c[1])[:n]
+            rows += [row] * len(lead)
+            told += [(t, times, words.index(t), i + 1) for i, (t, times) in enumerate(lead)]
+        term, times, pos, rank = zip(*told, strict=True) if told else ((), (), (), ())
+        arrays = [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(term, pa.string()), pa.array(times, pa.int64()), pa.array(pos, pa.int32()), pa.array(rank, pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "term", "times", "pos", "rank"])
+
+
+def leading_of_groups(docs: DataFrame, n: int) -> DataFrame:
+    """The same where a doc_id has several rows, which count together."""
+    words = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD.pattern), 0), F.lower)
     each = docs.select("doc_id", F.posexplode(words).alias("pos", "term")).where(~F.col("term").isin(*STOP_TERMS))
     counts = each.groupBy("doc_id", "term").agg(F.count("*").alias("times"), F.min("pos").alias("pos"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("times"), "pos")
@@ -97,7 +131,7 @@ def distinctiveness(new: DataFrame, stored: DataFrame, n: int = 24) -> DataFrame
     that scales, at the price of missing a term inside a longer one.
     """
     lead = leading_terms(new, n)
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-zA-Z][a-zA-Z0-9_-]{3,}"), 0), F.lower))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD.pattern), 0), F.lower))
     known = stored.select(F.explode(words).alias("term")).distinct().withColumn("_known", F.lit(1))
     met = lead.join(known, "term", "left")
     return met.groupBy("doc_id").agg((F.count_if(F.col("_known").isNull()) / F.count("*")).alias("distinctiveness"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.functions.text import NEGATIONS
-from annalist.operators import extract, graph, temporal, vectors
+from annalist.operators import extract, governance, graph, temporal, vectors
 from annalist.plans import queries
 from annalist.plans.queries import load
 from annalist.sources.shared import keep
@@ -149,3 +149,17 @@ def test_golds_meet_without_comparing_all(spark):
     """Questions of any number of words find the documents that hold them; none takes a nested loop."""
     plan = queries.golds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+ODD = [(1, "beta Alpha beta-x this Beta alpha\nalpha gamma"), (2, None), (3, ""), (4, "delta\nDELTA alpha"), (4, "beta alpha\ngamma\ngamma"), (None, "alpha \u212aelvin"), (None, "alpha")]
+
+
+def test_leading_terms_are_counted_where_a_text_lies(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    got = {(r["doc_id"], r["term"]): (r["times"], r["pos"], r["rank"]) for r in governance.leading_terms(docs, 2).collect()}
+    assert got == {(1, "alpha"): (3, 1, 1), (1, "beta"): (2, 0, 2), (4, "delta"): (2, 0, 1), (4, "alpha"): (2, 1, 2), (None, "alpha"): (2, 0, 1), (None, "elvin"): (1, 1, 2)}
+    assert exchanges(governance.leading_terms(docs.where("doc_id < 4"))) == 0
