@@ -5,11 +5,12 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from annalist.functions.text import NEGATIONS
-from annalist.operators import extract, governance, graph, temporal, vectors
+from annalist.operators import extract, governance, graph, search, temporal, vectors
 from annalist.plans import queries
 from annalist.plans.queries import load
 from annalist.sources.shared import keep
@@ -163,3 +164,17 @@ def test_leading_terms_are_counted_where_a_text_lies(spark):
     got = {(r["doc_id"], r["term"]): (r["times"], r["pos"], r["rank"]) for r in governance.leading_terms(docs, 2).collect()}
     assert got == {(1, "alpha"): (3, 1, 1), (1, "beta"): (2, 0, 2), (4, "delta"): (2, 0, 1), (4, "alpha"): (2, 1, 2), (None, "alpha"): (2, 0, 1), (None, "elvin"): (1, 1, 2)}
     assert exchanges(governance.leading_terms(docs.where("doc_id < 4"))) == 0
+
+
+def test_grep_counts_lines_where_a_file_lies(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    asked = spark.createDataFrame([("a", "alpha beta"), ("g", "gamma"), ("n", "nothing here"), ("a", "alpha delta")], "query_id string, question string")
+    got = lambda df: sorted(((r["query_id"], r["doc_id"], r["n_lines"], r["rank"]) for r in df.collect()), key=str)
+    plain = got(search.top(search.files_by_joins(asked.selectExpr("query_id", "explode(split(question, ' ')) as term"), docs), "query_id", [F.desc("n_lines"), "doc_id"], 2))
+    assert got(search.grep_files(asked, docs, most=2)) == plain
+    assert plain == sorted([("a", 1, 2, 1), ("a", 4, 2, 2), ("g", 4, 2, 1), ("g", 1, 1, 2)], key=str)
+    assert exchanges(search.grep_files(asked, docs.where("doc_id < 4"))) == 1
+    by, k = {"alpha": [0], "beta": [0, 1]}, 1
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(9)), "text": ["alpha\nbeta"] * 9})
+    told = [{q: b[0] for q, b in held.items()} for held in search.told_files([batch], by, k, most=1)]
+    assert {0: (-2, True, 0), 1: (-1, True, 0)} in told  # told early, where more than one is held
