@@ -166,6 +166,14 @@ def test_leading_terms_are_counted_where_a_text_lies(spark):
     assert exchanges(governance.leading_terms(docs.where("doc_id < 4"))) == 0
 
 
+def test_distinctiveness_deals_leading_terms_alone(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    new, stored = docs.where("doc_id = 1"), docs.where("doc_id = 4")
+    told = governance.distinctiveness(new, stored)
+    assert exchanges(told) <= 3
+    assert [(r["doc_id"], round(r["distinctiveness"], 6)) for r in told.collect()] == [(1, 0.25)]  # beta-x alone
+
+
 def test_grep_counts_lines_where_a_file_lies(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
     asked = spark.createDataFrame([("a", "alpha beta"), ("g", "gamma"), ("n", "nothing here"), ("a", "alpha delta")], "query_id string, question string")
