@@ -128,12 +128,13 @@ def distinctiveness(new: DataFrame, stored: DataFrame, n: int = 24) -> DataFrame
     """Share of a text's leading terms that no stored text has.
 
     Stored texts are met through their terms, not as substrings: an equi-join
-    that scales, at the price of missing a term inside a longer one.
+    that scales, at the price of missing a term inside a longer one.  A task
+    hashes its share of the different stored terms, and sorts neither side.
     """
     lead = leading_terms(new, n)
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD.pattern), 0), F.lower))
     known = stored.select(F.explode(words).alias("term")).distinct().withColumn("_known", F.lit(1))
-    met = lead.join(known, "term", "left")
+    met = lead.join(known.hint("shuffle_hash"), "term", "left")
     return met.groupBy("doc_id").agg((F.count_if(F.col("_known").isNull()) / F.count("*")).alias("distinctiveness"))
 
 

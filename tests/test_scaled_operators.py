@@ -174,6 +174,15 @@ def test_distinctiveness_deals_leading_terms_alone(spark):
     assert [(r["doc_id"], round(r["distinctiveness"], 6)) for r in told.collect()] == [(1, 0.25)]  # beta-x alone
 
 
+def test_distinctiveness_sorts_neither_side(spark):
+    """A task holds different stored terms and counts, not the leading terms that meet them."""
+    docs = spark.createDataFrame([*ODD, (5, "gamma gamma epsilon alpha"), (6, None), (7, "the of")], "doc_id long, text string")
+    told = governance.distinctiveness(docs.where("doc_id in (1, 5, 6, 7)"), docs.where("doc_id is null or doc_id = 4"))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
+    assert {r["doc_id"]: round(r["distinctiveness"], 6) for r in told.collect()} == {1: 0.25, 5: 0.333333}
+
+
 def test_grep_counts_lines_where_a_file_lies(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
     asked = spark.createDataFrame([("a", "alpha beta"), ("g", "gamma"), ("n", "nothing here"), ("a", "alpha delta")], "query_id string, question string")
